@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import traverse as tr
 from .catalog import query
-from .lens import LENS, duck, frame, lens
+from .lens import LENS, duck, frame, lens  # noqa: F401
 
 ROOT = "pr:root"
 
