@@ -27,6 +27,7 @@ def load():
         documents,
         evidence,
         graph,
+        places,
         resolution,
         shares,
     )
