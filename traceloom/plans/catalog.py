@@ -24,6 +24,7 @@ def query(name, oracle=None):
 
 def load():
     from . import (  # noqa: F401
+        commit,
         documents,
         evidence,
         graph,
