@@ -30,6 +30,7 @@ def load():
         graph,
         places,
         resolution,
+        revisions,
         shares,
     )
 
