@@ -1,12 +1,12 @@
 """Document reuse, quote search, passages and page ranking."""
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
 from ..session import materialize
-from .running import first_per_key, top_per_key
+from .running import first_per_key, running_totals, top_per_key
 
 SHINGLE = 3
 
@@ -206,9 +206,8 @@ def seed_urls(sources: DataFrame, by, k=10) -> DataFrame:
     return top_per_key(first, list(by), ["pos"], k)
 
 
-def evidence_ids(evidence: DataFrame, by=("run_id",)) -> DataFrame:
-    """Ids such as E1, E2, S1: a counter per run and prefix in registration order."""
-    window = W.partitionBy(*by, "prefix").orderBy("pos")
-    return evidence.withColumn(
-        "id", F.concat("prefix", F.row_number().over(window).cast("string"))
-    )
+def evidence_ids(evidence: DataFrame, by=("run_id",), block=10000) -> DataFrame:
+    """Ids such as E1, E2, S1: a counter per run and prefix in registration order (`pos`)."""
+    slot = F.floor(F.col("pos") / block)
+    counted = running_totals(evidence, [*by, "prefix"], ["pos"], slot, {"n": F.lit(1)})
+    return counted.withColumn("id", F.concat("prefix", F.col("n").cast("string"))).drop("n")

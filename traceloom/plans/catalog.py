@@ -31,6 +31,7 @@ def load():
         places,
         resolution,
         revisions,
+        runs,
         shares,
     )
 

@@ -144,7 +144,7 @@ UNION ALL SELECT p_brand, p_partkey * 10, 'update_node', {NO}, CASE WHEN p_brand
 @query(
     "mutation_batch",
     """WITH b AS (SELECT p_brand AS graph_id, count(*) AS parts, count(*) FILTER (p_size = 1) AS gone, count(*) FILTER (p_size = 2) AS made, count(*) FILTER (p_size = 3) AS renamed,
- CASE WHEN p_brand = 'Brand#2' AND bool_or(p_size = 1) THEN 'has_relations' WHEN p_brand = 'Brand#4' AND bool_or(p_size = 2) THEN 'endpoint_missing' WHEN p_brand = 'Brand#6' AND bool_or(p_size = 3) THEN 'target_missing' END AS reason FROM part GROUP BY ALL)
+ CASE WHEN p_brand = 'Brand#2' AND bool_or(p_size = 1) THEN 'has_relations' WHEN p_brand = 'Brand#4' AND bool_or(p_size = 2) THEN 'endpoint_missing' WHEN p_brand = 'Brand#6' AND bool_or(p_size = 3) THEN 'target_missing' END AS reason FROM part GROUP BY p_brand)
 SELECT graph_id, reason, CASE WHEN reason IS NULL THEN parts + 1 - gone + made ELSE parts + 1 END AS nodes, CASE WHEN reason IS NULL THEN parts - gone + made ELSE parts END AS edges,
  CASE WHEN reason IS NULL THEN renamed ELSE 0 END AS renamed FROM b""",
 )
