@@ -33,6 +33,7 @@ def load():
         revisions,
         runs,
         shares,
+        sources,
     )
 
     return QUERIES, ORACLES

@@ -62,7 +62,7 @@ def read_bom_csv(spark, path):
     raw = raw.withColumns(cells)
     quantity = "quantity" if "quantity" in names else "qty" if "qty" in names else None
     text = F.col(quantity) if quantity else F.lit("")
-    number = F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
+    number = text.try_cast("double")
     finite = (number >= 0) & (number < F.lit(float("inf"))) & ~F.isnan(number)
     kind = F.col("kind") if "kind" in names else F.lit("material" if label_column == "material" else "component")
     unit = F.nullif(F.col("unit"), F.lit("")) if "unit" in names else F.lit(None).cast("string")
@@ -94,21 +94,27 @@ def read_bom_csv(spark, path):
     )
 
 
+REF = (
+    "struct<type:string,source_id:string,url:string,title:string,quote:string,locator:string,"
+    "claimed_quote:string,snippet:string,query:string,field:string,note:string>"
+)
 ITEM = (
-    "id string, name string, category string, quantity double, unit string, material string, "
-    "manufacturer string, part_number string, parent_item_id string, notes string, basis string, "
-    "confidence string, sources array<struct<type:string,source_id:string,url:string,title:string,"
-    "quote:string,locator:string,claimed_quote:string,snippet:string,query:string,field:string,note:string>>"
+    "struct<id:string,name:string,category:string,quantity:double,unit:string,material:string,"
+    "manufacturer:string,part_number:string,parent_item_id:string,notes:string,basis:string,"
+    f"confidence:string,sources:array<{REF}>>"
 )
 ESTIMATE = (
-    f"id string, status string, product struct<name:string,brand:string>, items array<struct<{ITEM.replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>>, "
+    f"id string, status string, product struct<name:string,brand:string>, items array<{ITEM}>, "
     "sources array<struct<id:string,url:string>>"
 )
 
 
-def read_estimates(spark, path):
-    """Imported bill-of-materials estimates: (items, sources) with one row each and estimate_id."""
-    raw = spark.read.schema(ESTIMATE).option("multiLine", True).json(path)
+def read_estimates(spark, path, multi_line=True):
+    """Imported bill-of-materials estimates: (items, sources) with one row each and estimate_id.
+
+    `multi_line` reads one document per file; otherwise one per line, which splits over tasks.
+    """
+    raw = spark.read.schema(ESTIMATE).option("multiLine", multi_line).json(path)
     items = raw.select(F.col("id").alias("estimate_id"), "status", F.col("product.name").alias("product"), F.explode("items").alias("i"))
     items = items.select("estimate_id", "status", "product", "i.*")
     sources = raw.select(F.col("id").alias("estimate_id"), F.posexplode("sources").alias("pos", "s")).select(
