@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..session import materialize
+from ..session import materialize, spread
 from .running import first_per_key, running_totals, top_per_key
 
 SHINGLE = 3
@@ -107,7 +107,7 @@ def find_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     split = split.withColumn("inner", inner)
     keyed = split.select("quote_id", "quote", _shingles("inner").alias("keys"), "words")
     long_keys = keyed.where(F.size("keys") > 0).select("quote_id", F.explode(F.array_distinct("keys")).alias("key"))
-    doc_words = docs.select("doc_id", _words(F.col("body")).alias("words"))
+    doc_words = spread(docs.select("doc_id", "body")).select("doc_id", _words(F.col("body")).alias("words"))
     doc_keys = doc_words.select("doc_id", F.explode(F.array_distinct(_shingles("words"))).alias("key"))
     matched = materialize(
         doc_keys.join(long_keys.select("key").distinct(), "key", "left_semi")

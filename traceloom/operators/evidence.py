@@ -65,16 +65,21 @@ def evidence_summary(rows: DataFrame, keys) -> DataFrame:
     combinable aggregations instead of an expanded input.
     """
     contradicted = _disputed_claim() | (F.col("support_type") == "contradicts")
-    per_source = rows.groupBy(*keys, "source_id").agg(
-        F.bool_or("source_found").alias("source_found"),
-        F.max("family").alias("family"),
-        F.max("published_at").alias("published_at"),
-        F.bool_or(contradicted).alias("contradicted"),
-    )
     group = F.when(
         F.col("source_found"), F.coalesce(F.col("family"), F.col("source_id").cast("string"))
     )
-    per_family = per_source.groupBy(*keys, group.alias("family")).agg(
+    # a source has one family, so it can be a grouping key: a maximum of text would sort instead
+    # of hash
+    per_source = (
+        rows.withColumn("family", group)
+        .groupBy(*keys, "source_id", "family")
+        .agg(
+            F.bool_or("source_found").alias("source_found"),
+            F.max("published_at").alias("published_at"),
+            F.bool_or(contradicted).alias("contradicted"),
+        )
+    )
+    per_family = per_source.groupBy(*keys, "family").agg(
         F.count_if("source_found").alias("sources"),
         F.max("published_at").alias("published_at"),
         F.bool_or("contradicted").alias("contradicted"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions.text import ascii_label_key
+from ..session import materialize
 from .running import top_per_key
 
 FIELDS = ("quantity", "unit", "material", "manufacturer", "part_number", "notes")
@@ -32,7 +33,7 @@ def project_items(raw: DataFrame, registry: DataFrame, max_items=60, key=ascii_l
     sources stay rows of their own table, since nothing bounds how many there are.
     """
     rows = raw.withColumn("name_key", key(F.col("name")))
-    rows = rows.join(_kept_names(rows, max_items), ["request_id", "name_key"])
+    rows = materialize(rows.join(_kept_names(rows, max_items), ["request_id", "name_key"]).drop("first"))
     cited = rows.select("request_id", "name_key", "ordinal", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
     cited = cited.join(registry, ["request_id", "evidence_id"], "left")
     unknown = cited.where("ref_type is null").select("request_id", "evidence_id", "ordinal")

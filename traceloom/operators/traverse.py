@@ -21,7 +21,6 @@ def levels(edges: DataFrame, roots: DataFrame, max_level=None, by=(), carry=())
     links = materialize(
         edges.select(*by, F.col("target_node_id").alias("id"), F.col("source_node_id").alias("child"))
         .where("id is not null and child is not null")
-        .distinct()
     )
     frontier = materialize(roots.select(*by, "id", *carry).distinct())
     seen = frontier.withColumn("tier", F.lit(0))
