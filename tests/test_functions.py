@@ -25,7 +25,7 @@ def test_label_keys(spark):
     cases = [("  Broadcom  BCM2712 ", "broadcom bcm2712"), ("Straße", "strasse"), ("ﬁlm", "film"), (None, "")]
     table(spark, tx.label_key, cases)
     table(spark, tx.folded_key, [("ﬁ Straße", "ﬁ strasse".casefold()), (None, "")])
-    table(spark, tx.ascii_label_key, [(" A  b\tC ", "a b c"), (None, "")])
+    table(spark, tx.native_label_key, [(" A  b\tC ", "a b c"), ("Straße ΣΟΦΟΣ", "strasse σοφοσ"), (None, "")])
 
 
 def test_with_label_key_folds_each_label_once(spark):
@@ -59,7 +59,7 @@ def test_label_classes(spark):
 
 def test_preferred_label(spark):
     def prefers(now, new):
-        return one(spark, tx.prefers("a", "b", tx.ascii_label_key("a"), tx.ascii_label_key("b")), a=now, b=new)
+        return one(spark, tx.prefers("a", "b", tx.native_label_key("a"), tx.native_label_key("b")), a=now, b=new)
 
     assert prefers("D0 stepping of the BCM2712 application processor", "BCM2712")
     assert not prefers("Broadcom BCM2712", "BCM2712")

@@ -230,3 +230,44 @@ def test_extractor_hook(spark):
 
     pages = spark.createDataFrame([("u", "chip")], "url string, body string")
     assert [tuple(r) for r in readers.extract_findings(pages, upper, "url string, label string").collect()] == [("u", "CHIP")]
+
+
+def test_remaining_helpers(spark, tmp_path):
+    from traceloom.functions import sites as st
+    from traceloom.functions import text as tx
+    from traceloom.operators import gates
+
+    df = spark.createDataFrame([("abcdef", "cd", "ff")], "b string, s string, h string")
+    assert df.select(tx.hashed_locator("b", "s", "h")).first()[0] == "chars 2:4;sha256=ff"
+    places = spark.createDataFrame(
+        [("5509 N.W. Parker Street, Camas, WA 98607", None, "address"), ("12 Elm Road, Oak Street, Camas, WA", "Washington", "address"), ("Kunshan, China", "Jiangsu", "city"), (None, None, "country")],
+        "a string, admin1 string, p string",
+    ).withColumn("country", F.when(F.col("a").contains("Kunshan"), "China").otherwise("United States"))
+    places = places.withColumn("c", st.place_candidates("a", "country"))
+    got = [r[0] for r in places.select(st.short_city("c", "admin1", "country", "p")).collect()]
+    assert got == ["Camas", "Camas", "Kunshan", "United States"]
+    strict = "kind string, label_key string, predicate string, object_kind string, object_key string, scope_type string, scope_key string, quote string, body string"
+    rows = [
+        (("component", "a", "PART_OF", "product", "w", "product", "w", "q1", "x q1 y"), None),
+        (("component", "a", "PART_OF", "product", "w", "product", "w", "q1", "q1 q1"), "span_not_found"),
+        (("component", "a", "PART_OF", "product", "w", "product", "v", "q1", "q1"), "scope_mismatch"),
+        (("component", "w", "PART_OF", "component", "w", "generic", None, "q1", "q1"), "predicate_invalid"),
+        (("organization", "o", "PRODUCES", "component", "a", "company", "o", "q1", "q1"), None),
+        (("organization", "o", "PRODUCES", "component", "a", "company", "z", "q1", "q1"), "scope_mismatch"),
+        (("organization", "o", "PRODUCES", "component", "a", "generic", "o", "q1", "q1"), "scope_mismatch"),
+        (("organization", "o", "PRODUCES", "product", "w", "generic", None, "q1", "q1"), "scope_mismatch"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(rows)], "i int, " + strict)
+    roles = {c.split()[0]: c.split()[0] for c in strict.split(", ")}
+    reason = gates.strict_rejection({**roles, "root_key": F.lit("w"), "company_key": F.lit(None).cast("string")})
+    assert {r.i: r.v for r in df.select("i", reason.alias("v")).collect()} == {i: want for i, (_, want) in enumerate(rows)}
+    items = spark.createDataFrame([("e1", "Board  Five"), ("e2", "Other")], "estimate_id string, product string")
+    asked = spark.createDataFrame([("e1", "board five"), ("e2", "board five")], "estimate_id string, product string")
+    assert [r.estimate_id for r in readers.product_mismatches(items, asked).select("estimate_id").collect()] == ["e2"]
+    docs = spark.createDataFrame([("q", "W", "u", "has the chip inside"), ("q", "V", "u", "has the chip inside")], "request_id string, product string, url string, body string")
+    parts = spark.createDataFrame([("W", "Chip", "the chip", "r"), ("W", "Lens", "the lens", "r")], "product string, label string, span string, rationale string")
+    assert [r.name for r in it.curated_items(docs, parts).collect()] == ["Chip"]
+    runs = spark.createDataFrame([("r1", 1)], "run_id string, generated_at int")
+    rows = spark.createDataFrame([("r1", "x", "p")], "run_id string, v string, _private string")
+    sinks.write_bundle(str(tmp_path / "b"), {"nodes": rows}, rows, rows, rows, runs)
+    assert spark.read.json(str(tmp_path / "b/bom")).columns == ["v", "run_id"]

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.text import ascii_label_key
+from ..functions.text import native_label_key
 from ..session import materialize
 from .running import top_per_key
 
@@ -24,7 +24,7 @@ def _filled(columns, order="ordinal"):
     ]
 
 
-def project_items(raw: DataFrame, registry: DataFrame, max_items=60, key=ascii_label_key):
+def project_items(raw: DataFrame, registry: DataFrame, max_items=60, key=native_label_key):
     """Merge composed rows into items: (items, sources, unknown ids).
 
     `raw` has request_id, ordinal, name, category, the optional fields, parent_name, evidence_ids,
@@ -75,7 +75,7 @@ def project_items(raw: DataFrame, registry: DataFrame, max_items=60, key=ascii_l
     return items, sources, unknown
 
 
-def fallback_items(evidence: DataFrame, max_items=60, key=ascii_label_key) -> DataFrame:
+def fallback_items(evidence: DataFrame, max_items=60, key=native_label_key) -> DataFrame:
     """Items straight from raw evidence when nothing was composed: never a guess."""
     rows = evidence.where(
         (F.coalesce("name", F.lit("")) != "") & (F.coalesce("category", F.lit("")) != "")
@@ -92,6 +92,24 @@ def fallback_items(evidence: DataFrame, max_items=60, key=ascii_label_key) -> Da
     )
 
 
+def curated_items(documents: DataFrame, components: DataFrame) -> DataFrame:
+    """Items of the curated set that documents support: a component whose span is in the text,
+    composed with high confidence because the quote was located.
+
+    `documents` has request_id, product, url, body; `components` product, label, span, rationale.
+    """
+    rows = documents.join(components, "product").where(F.contains("body", F.col("span")))
+    return rows.select(
+        "request_id",
+        F.col("label").alias("name"),
+        F.lit("component").alias("category"),
+        F.substring("rationale", 1, 300).alias("notes"),
+        F.col("span").alias("quote"),
+        "url",
+        F.lit("high").alias("confidence"),
+    )
+
+
 def cited_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Source metadata of each imported item's citations."""
     refs = items.select("request_id", "item_id", F.explode("source_ids").alias("source_id")).distinct()

@@ -17,7 +17,7 @@ INSTRUMENTS = {"tin": "inst_fixture_lme_sn", "copper": "inst_fixture_lme_cu"}
 PLACE = "struct<country_iso2:string,admin1:string,city:string,lat:double,lon:double,precision:string>"
 
 
-def place_names(countries, regions, cities, key=tx.ascii_label_key) -> DataFrame:
+def place_names(countries, regions, cities, key=tx.native_label_key) -> DataFrame:
     """One name table from the three gazetteer tables, each with `aliases` and `pos`.
 
     A name keeps its first entry per country, so it never has more rows than there are countries.
@@ -48,7 +48,7 @@ def place_names(countries, regions, cities, key=tx.ascii_label_key) -> DataFrame
     )
 
 
-def label_phrases(labels: DataFrame, key=tx.ascii_label_key) -> DataFrame:
+def label_phrases(labels: DataFrame, key=tx.native_label_key) -> DataFrame:
     """Candidate place names of each (label, hint): its parts, each with all word tails and then
     all word heads, with their order."""
     parts = labels.select("label", "hint", F.posexplode(F.split("label", SPLIT)).alias("part", "text"))
@@ -67,7 +67,7 @@ def label_phrases(labels: DataFrame, key=tx.ascii_label_key) -> DataFrame:
     )
 
 
-def resolve_places(labels: DataFrame, countries, regions, cities, key=tx.ascii_label_key) -> DataFrame:
+def resolve_places(labels: DataFrame, countries, regions, cities, key=tx.native_label_key) -> DataFrame:
     """Best place of each distinct (label, hint): a city, else a region, that agrees with the
     country hinted, named in the label or implied by a named region; else the country's centre."""
     asked = labels.select("label", "hint").distinct()
@@ -204,7 +204,7 @@ def inherit_places(subjects: DataFrame, located: DataFrame) -> DataFrame:
     )
 
 
-def fill_coordinates(layers: DataFrame, countries, regions, cities, key=tx.ascii_label_key) -> DataFrame:
+def fill_coordinates(layers: DataFrame, countries, regions, cities, key=tx.native_label_key) -> DataFrame:
     """Centres for located layers without coordinates, same country only, nothing overwritten.
 
     `layers` has id, label, address, country_iso2, admin1, lat, lon, precision.
@@ -238,7 +238,7 @@ def fill_coordinates(layers: DataFrame, countries, regions, cities, key=tx.ascii
     )
 
 
-def place_fields(labels: DataFrame, countries, regions, cities, key=tx.ascii_label_key) -> DataFrame:
+def place_fields(labels: DataFrame, countries, regions, cities, key=tx.native_label_key) -> DataFrame:
     """Identifier and layer of new geography nodes: the gazetteer's place, else the hinted country
     code alone."""
     found = resolve_places(labels, countries, regions, cities, key)

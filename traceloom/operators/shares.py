@@ -237,6 +237,24 @@ def site_summary(nodes: DataFrame, makes: DataFrame, operators: DataFrame) -> Da
     )
 
 
+def pins(summary: DataFrame, anchor_label=None) -> DataFrame:
+    """Pins in display order: plants before organizations, then by label, without the anchor."""
+    if anchor_label is not None:
+        summary = summary.where(F.lower("label") != anchor_label.lower())
+    return summary.orderBy(F.when(F.col("role") == "plant", 0).otherwise(1), "label")
+
+
+def site_totals(summary: DataFrame) -> DataFrame:
+    """Counts over the pins shown."""
+    return summary.agg(
+        F.count("*").alias("sites"),
+        F.count_if(F.col("role") == "organization").alias("organizations"),
+        F.count_if(F.col("role") == "plant").alias("plants"),
+        F.count_distinct("country").alias("countries"),
+        F.coalesce(F.sum("makes"), F.lit(0)).alias("connections"),
+    )
+
+
 def leading_makes(makes: DataFrame, k=3) -> DataFrame:
     """The first `k` makes per site by share, for a one-line description."""
     return top_per_key(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_label_key
+from ..functions.text import native_label_key
 from ..operators import places as pl
 from .catalog import query
 from .lens import duck, frame
@@ -108,9 +108,9 @@ SELECT node_id, layer, CASE WHEN kind IS NULL THEN 'unresolved' WHEN layer = 'co
   WHEN layer = 'geography' THEN 'no_evidenced_location' WHEN kind = 'material' AND p_name IN ('red bolt', 'old rod') THEN NULL ELSE 'no_instrument' END AS reason FROM x""",
 )
 def enrichment_outcomes(spark, sf):
-    nodes = frame(spark, sf, ENRICHED).withColumn("label_key", ascii_label_key("p_name"))
+    nodes = frame(spark, sf, ENRICHED).withColumn("label_key", native_label_key("p_name"))
     data = frame(spark, sf, DATASETS).where("year >= 2001 and stage = 'mine'")
-    names = data.select(ascii_label_key("commodity").alias("label_key")).distinct()
+    names = data.select(native_label_key("commodity").alias("label_key")).distinct()
     production = nodes.where("kind = 'material'").join(names, "label_key", "left_semi")
     none = nodes.where("node_id is null")
     out = pl.enrichment_outcomes(
@@ -118,3 +118,18 @@ def enrichment_outcomes(spark, sf):
         {"red bolt": "inst_a", "old rod": "inst_b"},
     )
     return out
+
+
+@query(
+    "job_status",
+    """SELECT p_brand AS job_id, CASE WHEN bool_or(p_size = 50) OR bool_or(p_type <> 'ECONOMY') THEN 'partial' ELSE 'completed' END AS status, 2 * count(*) AS results FROM part GROUP BY p_brand""",
+)
+def job_status(spark, sf):
+    """A job per brand that asks for concentration and market layers of every part."""
+    nodes = frame(
+        spark, sf,
+        "SELECT p_brand AS job_id, p_partkey AS node_id, CASE WHEN p_size = 50 THEN NULL WHEN p_type = 'ECONOMY' THEN 'material' ELSE 'component' END AS kind, 'tin' AS label_key FROM {part}",
+    )
+    data = nodes.where("kind = 'material'")
+    out = pl.enrichment_outcomes(nodes.drop("job_id"), ["concentration", "market"], data, data.where("false"))
+    return pl.job_status(out.join(nodes.select("node_id", "job_id"), "node_id"), ["job_id"])

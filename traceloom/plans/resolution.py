@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_label_key
+from ..functions.text import native_label_key
 from ..operators import resolution as rs
 from .catalog import query
 from .lens import duck, frame

@@ -252,13 +252,13 @@ def failure_class(spark, sf):
 SELECT run_id, query_key, row_number() OVER (PARTITION BY run_id ORDER BY o) AS rank FROM f QUALIFY rank <= 3""",
 )
 def query_dedup(spark, sf):
-    from ..functions.text import ascii_label_key
+    from ..functions.text import native_label_key
 
     rows = frame(
         spark, sf,
         "SELECT user_id AS run_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE concat(event_type, ' ') END AS query, event_id % 3 AS source_rank, event_id AS pos FROM {events}",
     )
-    out = dc.distinct_queries(rows, ["run_id"], 3, ascii_label_key)
+    out = dc.distinct_queries(rows, ["run_id"], 3, native_label_key)
     return out.select("run_id", "query_key", F.col("rank").cast("long").alias("rank"))
 
 

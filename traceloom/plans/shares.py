@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_label_key
+from ..functions import sites as st
+from ..functions.text import native_label_key
 from ..operators import shares as sh
-from .catalog import query
+from .catalog import ORACLES, query
 from .lens import duck, frame, lens
 
 BY = ["commodity", "year"]
@@ -75,8 +76,8 @@ def production_match(spark, sf):
     materials = frame(
         spark, sf, "SELECT p_partkey AS node_id, p_name FROM {part} WHERE p_type = 'ECONOMY'"
     )
-    labels = materials.select("node_id", ascii_label_key("p_name").alias("label_key"))
-    datasets = frame(spark, sf, DATASETS).withColumn("name_key", ascii_label_key("commodity"))
+    labels = materials.select("node_id", native_label_key("p_name").alias("label_key"))
+    datasets = frame(spark, sf, DATASETS).withColumn("name_key", native_label_key("commodity"))
     return sh.match_production(labels, datasets).drop("label_key")
 
 
@@ -181,3 +182,45 @@ FROM n LEFT JOIN m ON id = node_id LEFT JOIN o ON id = plant WHERE lat IS NOT NU
 def site_summary(spark, sf):
     nodes, edges = frame(spark, sf, SITE_NODES), frame(spark, sf, SITE_EDGES)
     return sh.site_summary(nodes, sh.site_makes(nodes, edges), sh.operator_plants(edges, nodes))
+
+
+SUMMARY_SQL = ORACLES["site_summary"]
+
+
+@query(
+    "site_totals",
+    f"""SELECT count(*) AS sites, count(*) FILTER (role = 'organization') AS organizations, count(*) FILTER (role = 'plant') AS plants,
+ count(DISTINCT country) AS countries, CAST(sum(makes) AS BIGINT) AS connections FROM ({SUMMARY_SQL})""",
+)
+def site_totals(spark, sf):
+    return sh.site_totals(site_summary(spark, sf))
+
+
+# every customer is a site with an address of one of five shapes
+CARDS = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'organization' ELSE 'plant' END AS role, n_name AS country_name,
+ CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS admin1, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'address' ELSE 'city' END AS precision,
+ CASE c_custkey % 5 WHEN 0 THEN concat('5509 N.W. Parker, Camas ', c_mktsegment, ', WA, 98607') WHEN 1 THEN concat('Old Mill Road, Town, ', n_name) WHEN 2 THEN 'Machinery' WHEN 3 THEN n_name END AS address,
+ CASE c_custkey % 2 WHEN 0 THEN 'PRODUCES' ELSE 'OWNED_BY' END AS predicate, c_name AS label, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey % 100 AS DOUBLE) / 128 END AS share, CASE c_custkey % 3 WHEN 0 THEN 'stated' ELSE 'uniform_prior' END AS basis
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
+
+
+@query(
+    "site_cards",
+    f"""WITH c AS (SELECT *, CASE id % 5 WHEN 0 THEN 'Camas ' || (SELECT c_mktsegment FROM customer WHERE c_custkey = id) WHEN 1 THEN 'Town' WHEN 2 THEN 'Machinery' ELSE coalesce(admin1, country_name) END AS city FROM ({duck(CARDS)}))
+SELECT id, city, CASE WHEN role = 'plant' THEN 'Plant' ELSE 'Company office' END || ' in ' || city || CASE WHEN admin1 IS NOT NULL AND lower(admin1) <> lower(city) THEN ', ' || admin1 ELSE '' END || ', ' || country_name || '. '
+ || CASE WHEN id % 11 = 0 THEN 'Operated by Acme, Zed; no relation to a part is verified yet.' WHEN id % 13 = 0 THEN 'Located; no relation to a part is verified yet.'
+  ELSE 'It ' || CASE predicate WHEN 'PRODUCES' THEN 'produces' ELSE 'owned_by' END || ' ' || label || CASE WHEN share IS NULL THEN '' WHEN basis = 'stated' THEN ' (' || CAST(floor(share * 100 + 0.5) AS BIGINT) || '% stated)' ELSE ' (~' || CAST(floor(share * 100 + 0.5) AS BIGINT) || '%, prior)' END || '.' END
+ || ' ' || CASE precision WHEN 'address' THEN 'Address stated in the source' ELSE 'City centre from the reference gazetteer' END || '.' AS detail FROM c""",
+)
+def site_cards(spark, sf):
+    rows = frame(spark, sf, CARDS)
+    make = F.struct("predicate", "label", "share", F.col("basis").alias("share_basis"))
+    silent = (F.col("id") % 11 == 0) | (F.col("id") % 13 == 0)
+    rows = rows.withColumn("makes", F.when(~silent, F.array(make)).otherwise(F.slice(F.array(make), 1, 0)))
+    names = F.array(F.lit("Acme"), F.lit("Zed"))
+    rows = rows.withColumn("operators", F.when(F.col("id") % 11 == 0, names).otherwise(F.slice(names, 1, 0)))
+    rows = rows.withColumn("candidates", st.place_candidates("address", "country_name"))
+    rows = rows.withColumn("city", st.short_city("candidates", "admin1", "country_name", "precision"))
+    rows = rows.withColumn("region", st.short_region("admin1", "city"))
+    detail = st.describe_site("role", "city", "region", "country_name", "makes", "operators", "precision")
+    return rows.select("id", "city", detail.alias("detail"))

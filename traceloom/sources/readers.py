@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import urls
-from ..functions.text import ascii_label_key
+from ..functions.text import native_label_key
 from ..functions.values import canonical_json
 from ..operators.traverse import parent_faults
 
@@ -123,6 +123,12 @@ def read_estimates(spark, path, multi_line=True):
     return items, sources
 
 
+def product_mismatches(items: DataFrame, requests: DataFrame, key=native_label_key) -> DataFrame:
+    """Requests (estimate_id, product) whose product is not the estimate's own."""
+    own = items.select("estimate_id", F.col("product").alias("estimated")).distinct()
+    return requests.join(own, "estimate_id").where(key(F.col("product")) != key(F.col("estimated")))
+
+
 def estimate_violations(items: DataFrame, sources: DataFrame) -> DataFrame:
     """(estimate_id, id, reason) of every rule an imported estimate breaks."""
     twice = lambda df, reason: df.groupBy("estimate_id", "id").agg(F.count("*").alias("n")).where("n > 1").select("estimate_id", "id", F.lit(reason).alias("reason"))
@@ -158,7 +164,7 @@ def read_production(spark, path) -> DataFrame:
     return rows.withColumn("unallocated", F.when(F.col("n") == 0, F.col("u")).otherwise(0.0)).drop("u", "n")
 
 
-def production_names(rows: DataFrame, key=ascii_label_key) -> DataFrame:
+def production_names(rows: DataFrame, key=native_label_key) -> DataFrame:
     """Commodity and alias keys of each dataset, for matching material labels."""
     names = F.concat(F.array("commodity"), F.coalesce("aliases", F.array().cast("array<string>")))
     named = rows.select("commodity", "year", "stage", F.explode(names).alias("name")).distinct()

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import public
+from ..operators.revisions import export_index
 
 SHARES_PER_FEATURE = 10000
 
@@ -23,6 +24,19 @@ def write_export(tables, path):
         public(df).write.mode("overwrite").json(f"{path}/{name}")
 
 
+def write_bundle(path, graph, sites, bills, events, runs):
+    """Export bundle of a graph: its tables, sites, bills and events per run, and the run index.
+
+    Bills and events are partitioned by run, so one job writes every run; the index keeps the latest
+    entry of each run.
+    """
+    write_export(graph, f"{path}/graph")
+    public(sites).write.mode("overwrite").json(f"{path}/sites")
+    for name, df in (("bom", bills), ("events", events)):
+        public(df).write.mode("overwrite").partitionBy("run_id").json(f"{path}/{name}")
+    export_index(runs).write.mode("overwrite").json(f"{path}/index")
+
+
 def facility_features(nodes: DataFrame, evidenced: DataFrame) -> DataFrame:
     """GeoJSON point features of facilities with an evidenced location and coordinates."""
     claims = evidenced.groupBy("node_id").agg(
