@@ -35,6 +35,8 @@ def levels(edges: DataFrame, roots: DataFrame, max_level=None, by=(), carry=())
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("tier", F.lit(level)))
+        if level % 16 == 0:
+            seen = materialize(seen)  # a deep graph must not become a union of a thousand reads
     return seen
 
 
@@ -182,14 +184,11 @@ def parent_faults(items: DataFrame, id_col="id", parent_col="parent_id") -> Data
         step = state.select(
             F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("dangling").alias("lost")
         )
-        # a finished pointer has nothing to join, so it keeps a NULL partner
-        state = materialize(
-            state.join(step, "ptr", "left").select(
-                "id",
-                F.col("next").alias("ptr"),
-                (F.col("dangling") | F.coalesce("lost", F.lit(False))).alias("dangling"),
-            )
+        # finished pointers stay out of the join: their NULL keys would all meet in one task
+        moved = state.where("ptr is not null").join(step, "ptr").select(
+            "id", F.col("next").alias("ptr"), (F.col("dangling") | F.col("lost")).alias("dangling")
         )
+        state = materialize(state.where("ptr is null").unionByName(moved))
         now = state.where("ptr is not null").count()
         if now == open_rows:
             break

@@ -6,6 +6,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..operators import documents as dc
 from ..operators import gates
+from ..session import spread
 from .catalog import query
 from .lens import duck, frame, table
 
@@ -77,7 +78,7 @@ def quotes_and_docs(spark, sf):
         F.col("item_id").alias("quote_id"), F.col("text").alias("quote")
     )
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    return quotes, docs
+    return quotes, spread(docs)
 
 
 @query(

@@ -41,7 +41,8 @@ def tune(spark):
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when a table has fewer splits than the session has cores.
 
-    Only for heavy per-row work on small tables; a table with enough splits is returned as it is.
+    For a plain table read ahead of heavy per-row work; a table with enough splits is returned as it
+    is, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
