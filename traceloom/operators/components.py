@@ -25,9 +25,9 @@ def _fold(pairs, keys, left, right):
         return F.concat(F.filter(groups, lambda g: ~touches(g, pair)), F.array(merged))
 
     listed = pairs.groupBy(*keys).agg(F.collect_list(item).alias("__items"))
-    return listed.select(
-        *keys, F.size(F.aggregate("__items", empty, add)).cast("long").alias("groups")
-    )
+    folded = F.size(F.aggregate("__items", empty, add))
+    groups = F.when(F.size("__items") == 1, F.lit(1)).otherwise(folded)
+    return listed.select(*keys, groups.cast("long").alias("groups"))
 
 
 def connected_components(edges: DataFrame, u="u", v="v") -> DataFrame:
