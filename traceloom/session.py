@@ -58,7 +58,7 @@ def shared_folder(spark):
     an intermediate result. Only a local-mode session (tests) falls back to a temporary folder.
     """
     global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
