@@ -1,17 +1,23 @@
 """Where intermediate tables go."""
 
-import os
+import pytest
 
 from traceloom.session import materialize, shared_folder, spread
 
 
-def test_intermediate_tables_use_the_named_folder(spark, tmp_path, monkeypatch):
-    assert os.path.isdir(shared_folder(spark))
-    shared = str(tmp_path / "shared")
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: shared)
+def test_intermediate_tables_use_the_shared_folder(spark):
     out = materialize(spark.range(5).withColumnRenamed("id", "n"))
     assert sorted(r.n for r in out.collect()) == [0, 1, 2, 3, 4]
-    assert os.listdir(os.path.join(shared, "traceloom"))
+    assert all(shared_folder(spark).removeprefix("file:") in f for f in out.inputFiles())
+
+
+def test_a_cluster_session_must_name_the_folder(spark, monkeypatch):
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(context, "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_folder(spark)
 
 
 def test_materialize_keeps_schema_when_empty(spark):

@@ -70,6 +70,19 @@ def shared_folder(spark):
     return _local_root
 
 
+_marked = set()
+
+
+def _delete_with_application(spark, root):
+    """Have the file system drop the application's intermediate tables when the driver ends."""
+    if root in _marked:
+        return
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _marked.add(root)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 
@@ -78,6 +91,8 @@ def materialize(df: DataFrame) -> DataFrame:
     optimizer.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/traceloom/{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark).rstrip('/')}/traceloom/{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_with_application(spark, root)
     return spark.read.schema(df.schema).parquet(path)
