@@ -1,19 +1,13 @@
 """Queries over readers and sinks, on files Spark writes from the given tables first."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch_path
 from ..sources import readers, sinks
 from .catalog import query
 from .lens import duck, frame
 
 
-def _folder(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/traceloom/{name}-{uuid.uuid4().hex}"
-
-
 # every part is a row of an uploaded bill of materials; some quantities and kinds are broken
 BOM_ROWS = """SELECT CASE WHEN p_size = 7 THEN '' ELSE concat(p_name, ', "', CAST(p_partkey AS STRING), '"') END AS `Part Name`,
  CASE WHEN p_size % 5 = 0 THEN 'many' WHEN p_size % 5 = 1 THEN '' ELSE CAST(p_size AS STRING) END AS Qty, 'ea' AS Unit,
@@ -27,7 +21,7 @@ SELECT label, kind, CASE WHEN p_size % 5 IN (0, 1) THEN NULL ELSE p_size::DOUBLE
 UNION ALL SELECT CASE p_size WHEN 7 THEN '' ELSE label END, NULL, NULL, NULL, NULL, CASE p_size WHEN 7 THEN 'label_length' ELSE 'kind' END FROM r WHERE p_size IN (7, 9)""",
 )
 def bom_csv_rows(spark, sf):
-    path = _folder(spark, "bom")
+    path = scratch_path(spark, "bom")
     frame(spark, sf, BOM_ROWS).write.option("header", True).option("escape", '"').csv(path)
     rows, rejects, warnings = readers.read_bom_csv(spark, path)
     told = rows.join(warnings.select("label", "warning"), "label", "left")
@@ -52,7 +46,7 @@ def estimate_violations(spark, sf):
     ref = F.array(F.struct(F.lit("web_page").alias("type"), F.col("source").alias("source_id")))
     item = F.struct(F.col("item").alias("id"), "name", F.col("parent").alias("parent_item_id"), ref.alias("sources"))
     source = F.array(F.struct(F.lit("s1").alias("id"), F.lit("https://a.example.org/").alias("url")))
-    path = _folder(spark, "estimates")
+    path = scratch_path(spark, "estimates")
     # a block has a hundred order numbers, so no document lists more items than that
     documents = rows.groupBy("id", "status").agg(F.collect_list(item).alias("items"))
     documents.select("id", "status", F.struct(F.lit("Widget").alias("name")).alias("product"), "items", source.alias("sources")).write.json(path)
@@ -70,7 +64,7 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
 def geojson_features(spark, sf):
     nodes = frame(spark, sf, FACILITIES)
     claims = nodes.select(F.col("id").alias("node_id"), F.explode(F.array(F.lit("c1"), F.lit("c2"))).alias("claim_id"), F.lit("directly_supported").alias("support_label"))
-    path = _folder(spark, "geojson")
+    path = scratch_path(spark, "geojson")
     sinks.write_geojson(sinks.facility_features(nodes, claims), path)
     lines = spark.read.schema(
         "type string, geometry struct<type:string,coordinates:array<double>>, properties struct<node_id:string,country_iso2:string,claim_count:long>"

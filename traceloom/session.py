@@ -73,14 +73,17 @@ def shared_folder(spark):
 _marked = set()
 
 
-def _delete_with_application(spark, root):
-    """Have the file system drop the application's intermediate tables when the driver ends."""
-    if root in _marked:
-        return
+def scratch_path(spark, name="t"):
+    """A new path in the shared folder; the file system drops it when the application ends."""
     context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(root)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    _marked.add(root)
+    root = f"{shared_folder(spark).rstrip('/')}/traceloom/{context.applicationId}"
+    if root not in _marked:
+        folder = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _marked.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -91,8 +94,6 @@ def materialize(df: DataFrame) -> DataFrame:
     optimizer.
     """
     spark = df.sparkSession
-    root = f"{shared_folder(spark).rstrip('/')}/traceloom/{spark.sparkContext.applicationId}"
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _delete_with_application(spark, root)
     return spark.read.schema(df.schema).parquet(path)
