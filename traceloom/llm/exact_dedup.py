@@ -22,16 +22,17 @@ def _heads(docs, doc_id, text):
 
 
 def _named(rows: DataFrame, columns) -> DataFrame:
-    """Integer names, in sorted order, of the values that occur at least twice.
+    """Integer names of the values that occur at least twice.
 
     A value that occurs once belongs to a document that has no copy, so it needs no name. The count
     combines in the map tasks, so a value that fills a third of the rows reaches a task as one row
-    per map task. The table is written before its names are read, so they never change.
+    per map task. Equal values meet in one partition; each partition is sorted and its values are
+    numbered in that order, with the partition's number in the high bits. The table is written before
+    its names are read, so they never change.
     """
     repeated = rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return materialize(
-        repeated.orderBy(*columns).withColumn("name", F.monotonically_increasing_id())
-    )
+    numbered = repeated.sortWithinPartitions(*columns).withColumn("name", F.monotonically_increasing_id())
+    return materialize(numbered)
 
 
 def _first_level(docs, doc_id, text, block_bytes):

@@ -41,3 +41,19 @@ def source_mix(spark, sf_dir):
 
     return mix_rows(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_best_fit_packing")
+def best_fit_packing(spark, sf_dir):
+    """All documents in sequences of at most 2,048 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_url_filters")
+def url_filters(spark, sf_dir):
+    """Verdicts on all pages' urls; the trees learn from the urls that a rule decides."""
+    from .url_filters import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
