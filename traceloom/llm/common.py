@@ -1,5 +1,6 @@
 """Helpers the corpus operators share."""
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,16 @@ def unit_hash(*columns, seed=0):
     """A number strictly between 0 and 1, the same for the same values in every run."""
     hashed = F.xxhash64(*columns, F.lit(seed))
     return (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+def text_groups(batch, column, characters=1_000_000):
+    """Slices of an Arrow batch whose texts hold about so many characters, a longer text by itself."""
+    at, held = 0, 0
+    sizes = pc.coalesce(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    for i, size in enumerate(sizes):
+        if held and held + size > characters:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if at < len(sizes):
+        yield batch.slice(at)

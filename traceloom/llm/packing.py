@@ -5,12 +5,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.running import running_totals
-from .common import materialize
+from .common import materialize, text_groups
 
 CAPACITY = 2048
 END = 0
@@ -83,25 +82,12 @@ def encode_texts(texts, path):
     return coded
 
 
-def _groups(batch):
-    """Slices of a batch of about a million characters, so that few texts are held at a time."""
-    at, held = 0, 0
-    sizes = pc.coalesce(pc.utf8_length(batch.column(1)), 0).to_pylist()
-    for i, size in enumerate(sizes):
-        held += size
-        if held > 1_000_000:
-            yield batch.slice(at, i + 1 - at)
-            at, held = i + 1, 0
-    if at < len(sizes):
-        yield batch.slice(at)
-
-
 def _pieces(path, capacity):
     end = np.asarray([END], "<u4").tobytes()
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def cut(batches):
-        for part in (g for batch in batches for g in _groups(batch)):
+        for part in (g for batch in batches for g in text_groups(batch, 1)):
             out = [[], [], [], [], []]
             texts = [t or "" for t in part.column(1).to_pylist()]
             for doc, coded in zip(part.column(0).to_pylist(), encode_texts(texts, path)):

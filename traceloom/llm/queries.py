@@ -57,3 +57,19 @@ def url_filters(spark, sf_dir):
     from .url_filters import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    """Scores of all documents, learned from the labels outside the held-out quarter."""
+    from .quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_language_id")
+def language_id(spark, sf_dir):
+    """Languages of all documents, learned from those outside the held-out third."""
+    from .language import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
