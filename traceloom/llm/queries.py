@@ -73,3 +73,11 @@ def language_id(spark, sf_dir):
     from .language import predict_languages
 
     return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op6_ngram_jaccard")
+def ngram_jaccard(spark, sf_dir):
+    """Groups of all documents linked by the Jaccard similarity of their 5-word shingles."""
+    from .ngram_join import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents")).drop("set_key")
