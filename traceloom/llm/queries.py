@@ -81,3 +81,11 @@ def ngram_jaccard(spark, sf_dir):
     from .ngram_join import ngram_groups
 
     return ngram_groups(table(spark, sf_dir, "documents")).drop("set_key")
+
+
+@query("op10_embedding_dedup")
+def embedding_dedup(spark, sf_dir):
+    """Links and groups of all embeddings at cosine 0.95."""
+    from .embeddings import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
