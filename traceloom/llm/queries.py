@@ -89,3 +89,11 @@ def embedding_dedup(spark, sf_dir):
     from .embeddings import embedding_groups
 
     return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    """Bytes of all documents that a repeated string of 100 bytes covers."""
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
