@@ -12,8 +12,8 @@ ROUNDS = 3
 def _labelled(members, labels):
     if labels is None:
         return members.withColumn("label", F.col("id"))
-    return members.join(labels, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("label"))
+    return members.join(labels, F.col("id") == F.col("node"), "left").withColumn(
+        "label", F.coalesce("root", "id")).drop("node", "root")
 
 
 def _open(rows):
@@ -28,11 +28,12 @@ def _pairs(frame, a, b):
     return frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS) -> DataFrame:
+def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS, close=None) -> DataFrame:
     """(node, root) of every id that is not its group's smallest; groups are connected by links.
 
-    `buckets` has distinct (bucket, id); any two ids with a link share a bucket. `verify` takes (a, b)
-    pairs and returns those that are links.
+    `buckets` has distinct (bucket, id, sig); any two ids with a link share a bucket. `close` is a
+    condition on two `sig` columns that every link meets. `verify` takes (a, b) pairs and returns
+    those that are links.
 
     In a few rounds each bucket that holds several groups tries its members against one of them, its
     pivot, another one in each round: as many pairs as members. A bucket of near copies becomes one
@@ -41,18 +42,21 @@ def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS) -> DataFrame:
     never formed, and none that could matter is left out.
     """
     members, links, labels = materialize(buckets), None, None
+    near = close or (lambda a, b: F.lit(True))
+    sig = F.col("sig") if "sig" in members.columns else F.lit(0).alias("sig")
     for turn in range(rounds + 1):
         rows = materialize(_open(_labelled(members, labels)))
         if turn < rounds:
             mark = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn))
             pivot = rows.groupBy("bucket").agg(
-                F.min_by(F.struct("id", "label"), F.struct(mark, F.col("id"))).alias("pivot"))
-            tried = rows.join(pivot, "bucket").where("label <> pivot.label")
+                F.min_by(F.struct("id", "label", sig), F.struct(mark, F.col("id"))).alias("pivot"))
+            tried = rows.join(pivot, "bucket").where("label <> pivot.label").where(
+                near(sig, F.col("pivot.sig")))
             pairs = _pairs(tried, F.col("id"), F.col("pivot.id"))
         else:
             few = rows.where("label <> common").select(
-                "bucket", F.col("id").alias("few"), F.col("label").alias("few_label"))
-            tried = rows.join(few, "bucket").where("label <> few_label")
+                "bucket", F.col("id").alias("few"), F.col("label").alias("few_label"), sig.alias("few_sig"))
+            tried = rows.join(few, "bucket").where("label <> few_label").where(near(sig, F.col("few_sig")))
             pairs = _pairs(tried, F.col("id"), F.col("few"))
         found = materialize(verify(pairs))
         release(rows)

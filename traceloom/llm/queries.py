@@ -97,3 +97,11 @@ def substring_dedup(spark, sf_dir):
     from .substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def line_dedup(spark, sf_dir):
+    """Fuzzy repeated lines of all documents."""
+    from .line_dedup import judge_lines
+
+    return judge_lines(table(spark, sf_dir, "documents")).drop("tie")
