@@ -114,11 +114,15 @@ LOW = np.uint64((1 << 48) - 1)  # gram and run are shipped with 48 bits each
 
 
 def _ordered(entries):
-    """Entries in the order of the corpus, smaller id, then earlier place; rows of one place once."""
-    entries = entries[np.lexsort((entries["place"], entries["tie"], entries["doc"]))]
-    new = np.ones(len(entries), bool)
-    new[1:] = ((entries["doc"][1:] != entries["doc"][:-1]) | (entries["tie"][1:] != entries["tie"][:-1])
-               | (entries["place"][1:] != entries["place"][:-1]))
+    """Entries in the order of the corpus: smaller id, then earlier place; each run once.
+
+    Repeated rows bring a run again. An anchor has two runs where a segment ends among its strings.
+    """
+    entries = entries[np.lexsort([entries[c] for c in ("far", "near", "place", "tie", "doc")])]
+    new = np.zeros(len(entries), bool)
+    new[:1] = True
+    for name in ENTRY.names[2:]:
+        new[1:] |= entries[name][1:] != entries[name][:-1]
     return entries[new]
 
 
