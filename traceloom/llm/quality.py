@@ -16,6 +16,7 @@ WINDOW = 2
 LABELLED_ROWS = 20_000  # most labelled rows the network is fitted on, chosen by hash of the id
 HIDDEN = 32
 EPOCHS = 40
+STEPS = 2_000  # least steps of the fit, so that few labels are gone through more often
 ACCEPT = 0.7
 RARE = 1e-3  # weight of a word of frequency p is RARE / (RARE + p)
 CACHED_WORDS = 400_000
@@ -151,7 +152,7 @@ def fit_network(x, y, hidden=HIDDEN, epochs=EPOCHS, seed=3):
     params = [a, b, c, d]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     rows, step = np.flatnonzero(own), 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, STEPS // -(-len(rows) // 256))):
         random.shuffle(rows)
         for i in range(0, len(rows), 256):
             xs, ys = x[rows[i : i + 256]], y[rows[i : i + 256]]
@@ -214,16 +215,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows=LABELLED_ROWS, doc_id
     return model
 
 
-def score_quality(docs: DataFrame, model, text="text") -> DataFrame:
-    """The rows of `docs`, all columns, and `__score`: the probability that the label is 1.
-
-    Only the whole text is scored. Null and empty texts have the score of a text without words.
-    """
-    columns = docs.columns
-    at = columns.index(text)
-    # numbered names: columns of any name can stand beside the score
-    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", __score double"
+def _scored(docs, model, text):
+    """`docs` with columns c0, c1, ... and `score`; numbered names clash with nothing."""
+    at = docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", score double"
 
     def score(batches):
         for batch in batches:
@@ -234,25 +230,24 @@ def score_quality(docs: DataFrame, model, text="text") -> DataFrame:
                 else:
                     scores = network_scores(_pooled(texts, model["vectors"], model["weights"]), model["net"])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(scores, pa.float64())],
-                    names=[*part.schema.names, "__score"])
+                    [*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
 
-    return plain.mapInArrow(score, schema).toDF(*columns, "__score")
+    return plain.mapInArrow(score, schema)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, accept=ACCEPT, doc_id="doc_id", text="text"):
     """One row per document: doc_id, held_out, score, predicted (1 from `accept`).
 
-    Repeated rows are scored alike, each for itself; a null id counts as not held out. An empty table
+    Whole texts are scored; null and empty ones have the score of a text without words. Repeated rows are scored alike, each for itself; a null id counts as not held out. An empty table
     gives no rows. Columns other than id and text are not read, and the id is no input of the score.
     """
     model = train_quality(docs, labels, doc_id=doc_id, text=text)
-    scored = score_quality(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
-                         (F.col("__score") >= accept).cast("int").alias("predicted"))
+    scored = _scored(docs.select(doc_id, text), model, text)
+    return scored.select(F.col("c0").alias("doc_id"), held_out("c0").alias("held_out"), "score",
+                         (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, accept=ACCEPT, doc_id="doc_id", text="text"):
     """The rows of `docs`, all columns, that the classifier does not reject."""
     model = train_quality(docs, labels, doc_id=doc_id, text=text)
-    return score_quality(docs, model, text).where(F.col("__score") >= accept).drop("__score")
+    return _scored(docs, model, text).where(F.col("score") >= accept).drop("score").toDF(*docs.columns)
