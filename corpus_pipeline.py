@@ -10,7 +10,7 @@ A stage returns the columns of `documents`, the last one a row per piece. Every
 nulls in any column, empty and very long texts, repeated rows, and empty tables, as its operator is.
 """
 
-from traceloom.llm.common import table
+from traceloom.llm.common import small_batches, table
 from traceloom.llm.exact_dedup import drop_exact_copies
 from traceloom.llm.mixing import mixed_documents
 from traceloom.llm.ngram_join import keep_one_per_group
@@ -21,7 +21,7 @@ from traceloom.session import scratch_path, tune
 
 def quality(spark, docs, sf_dir):
     """Documents that the quality classifier accepts."""
-    return keep_accepted(docs, table(spark, sf_dir, "labels"))
+    return keep_accepted(docs, table(small_batches(spark), sf_dir, "labels"))
 
 
 def exact(spark, docs, sf_dir):
@@ -31,6 +31,7 @@ def exact(spark, docs, sf_dir):
 
 def near(spark, docs, sf_dir):
     """One document of each group of near copies."""
+    small_batches(spark)
     return keep_one_per_group(docs)
 
 
@@ -41,6 +42,7 @@ def mix(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Pieces of token sequences of at most 2,048 tokens."""
+    small_batches(spark)
     return pack_documents(docs)
 
 
@@ -52,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages in order, each written as Parquet and read again by the next."""
-    tune(spark)
+    small_batches(tune(spark))
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)

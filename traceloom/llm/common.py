@@ -14,15 +14,10 @@ def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(doc_id="doc_id", text="text"):
-    """Sixteen bytes that name a document by its id and text, whatever task reads it.
-
-    Numbering rows by their place in a scan is not stable: the splits of a scan follow the number
-    of executors alive at that moment. Rows with equal id and text share a key; operators count them.
-    """
-    named = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
-                        F.coalesce(F.col(text), F.lit("")))
-    return F.unhex(F.md5(named.cast("binary")))
+def numbered(df: DataFrame):
+    """`df` with columns c0, c1, ..., and their names by the old ones; nothing clashes with these."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
 def release(df: DataFrame):
@@ -51,3 +46,9 @@ def text_groups(batch, column, characters=1_000_000):
         held += size
     if at < len(sizes):
         yield batch.slice(at)
+
+
+def small_batches(spark):
+    """Smaller Arrow batches than Spark's 10,000 rows: whole texts are long, and workers share memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark

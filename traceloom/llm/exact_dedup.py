@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, release
+from .common import SPACE, materialize, numbered, release
 
 BLOCK_BYTES = 2048
 
@@ -130,12 +130,11 @@ def drop_exact_copies(docs: DataFrame, doc_id="doc_id", text="text", block_bytes
     Of rows that repeat an id and a text one stays, whichever Spark meets first.
     """
     groups = exact_groups(docs, doc_id, text, block_bytes)
-    kept = materialize(groups.groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("__rows"))
-                       .where("kept").select(F.col("key").alias("__key"), "__rows"))
-    normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
-    owner = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), normal)
-    keyed = docs.withColumn("__key", F.unhex(F.md5(owner.cast("binary"))))
-    stay = keyed.join(kept, "__key")
-    once = stay.where("__rows = 1")
-    repeated = stay.where("__rows > 1").dropDuplicates(["__key"])
-    return once.unionByName(repeated).select(*docs.columns)
+    kept = materialize(groups.groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+                       .where("kept").select("key", "rows"))
+    plain, names = numbered(docs)
+    normal = F.regexp_replace(F.coalesce(F.col(names[text]), F.lit("")), SPACE, " ")
+    owner = F.concat_ws("|", F.coalesce(F.col(names[doc_id]).cast("string"), F.lit("null")), normal)
+    stay = plain.withColumn("key", F.unhex(F.md5(owner.cast("binary")))).join(kept, "key")
+    repeated = stay.where("rows > 1").dropDuplicates(["key"])
+    return stay.where("rows = 1").unionByName(repeated).select(*names.values()).toDF(*docs.columns)

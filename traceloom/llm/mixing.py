@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, unit_hash
+from .common import WORD, materialize, numbered, unit_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -146,8 +146,9 @@ def mix_rows(docs: DataFrame, doc_id="doc_id", text="text", source="source", see
 
 def mixed_documents(docs: DataFrame, seed=9, **options) -> DataFrame:
     """The rows of the mix with all columns of `docs`, each repeated as often as it is taken."""
-    columns = docs.columns
-    mixed = mix_rows(docs, seed=seed, carry=columns, **options)
+    plain, names = numbered(docs)
+    ids = {k: names[options.pop(k, k)] for k in ("doc_id", "text", "source")}
+    mixed = mix_rows(plain, seed=seed, carry=list(names.values()), **ids, **options)
     again = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.where("copies > 0").withColumn("__copy", again).select(
-        *[F.col(f"__c_{c}").alias(c) for c in columns])
+    return mixed.where("copies > 0").withColumn("copy", again).select(
+        *[F.col(f"__c_{c}") for c in names.values()]).toDF(*docs.columns)

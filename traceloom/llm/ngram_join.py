@@ -6,27 +6,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_groups
+from .common import materialize, numbered, release, text_groups
+from .hashing import Hashes, mix
 from .linking import linked_groups
 
 WORDS = 5
 PERCENT = 75  # links from intersection * 100 >= PERCENT * union
 BUCKET_ITEMS = 2_000_000  # n-grams of a bucket that one task holds
 MOST_SMALL = 12  # subsets are considered for sets of up to so many n-grams
-CACHED_WORDS = 400_000
 
-_hash_of = {}
-
-
-def _mix(h):
-    """Spreads the bits of 64-bit numbers."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def ngram_sets(texts, words=WORDS):
@@ -36,29 +29,32 @@ def ngram_sets(texts, words=WORDS):
     n-gram; without words the set is empty. Two n-grams of one pair of documents share a hash with a
     probability near 2 ** -64 each, so similarities are those of the n-grams themselves.
     """
-    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    new = {w for ws in split for w in ws if w not in _hash_of}
-    if len(_hash_of) + len(new) > CACHED_WORDS:
-        _hash_of.clear()
-        new = {w for ws in split for w in ws}
-    _hash_of.update((w, xxhash.xxh64_digest(w, 7)) for w in new)
-    out, base = [], np.uint64(0x9E3779B97F4A7C15)
-    for ws in split:
-        h = np.frombuffer(b"".join(map(_hash_of.__getitem__, ws)), np.uint64)
-        n = min(words, len(h))
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        total = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            total = total * base + h[k : len(h) - n + 1 + k]
-        out.append(np.unique(_mix(total)))
-    for word in new:
-        if len(word) > 64:
-            del _hash_of[word]
+    raw = [b" " + t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"".join(raw) + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(_BLANK[data].view(np.int8)))
+    starts, stops = edges[0::2] + 1, edges[1::2] + 1
+    owner = np.searchsorted(np.cumsum([len(r) for r in raw]), starts, "right")
+    counts = np.bincount(owner, minlength=len(texts))
+    h = Hashes(data).of(starts, stops)
+    firsts = np.cumsum(counts) - counts
+    out = [np.zeros(0, np.uint64)] * len(texts)
+    whole = _grams(h, words)
+    for i in np.flatnonzero(counts):
+        if counts[i] >= words:
+            out[i] = np.unique(whole[firsts[i] : firsts[i] + counts[i] - words + 1])
+        else:
+            out[i] = _grams(h[firsts[i] : firsts[i] + counts[i]], int(counts[i]))
     return out
 
 
+def _grams(h, n):
+    """Hashes of every n consecutive words, given those of the words."""
+    total = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for k in range(n):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+    return mix(total)
+
+
 def _digest(hashes):
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -89,7 +85,7 @@ def _set_rows(words, percent):
 
     def rows(batches):
         for batch in batches:
-            for part in text_groups(batch, 1, 4_000_000):
+            for part in text_groups(batch, 1):
                 sets = ngram_sets([t or "" for t in part.column(1).to_pylist()], words)
                 sizes = [len(s) for s in sets]
                 for n in set(sizes) - least.keys():
@@ -113,7 +109,7 @@ def _spread(words, buckets):
 
     def rows(batches):
         for batch in batches:
-            for part in text_groups(batch, 0, 4_000_000):
+            for part in text_groups(batch, 0, 2_000_000):
                 sets = [s for s in ngram_sets([t or "" for t in part.column(0).to_pylist()], words) if len(s)]
                 if not sets:
                     continue
@@ -163,7 +159,7 @@ def _shared(table):
 def _whole_sets(words):
     def rows(batches):
         for batch in batches:
-            for part in text_groups(batch, 1, 4_000_000):
+            for part in text_groups(batch, 1):
                 sets = ngram_sets([t or "" for t in part.column(1).to_pylist()], words)
                 own = [i for i, (k, s) in enumerate(zip(part.column(0).to_pylist(), sets)) if _digest(s) == k]
                 yield pa.RecordBatch.from_arrays(
@@ -226,7 +222,7 @@ def _subsets(most, percent):
                     picks = np.asarray(list(combinations(range(n), size)), np.int64)
                     key = np.full(len(picks), (min(n, b) << 32) | max(n, b), np.uint64)
                     for k in range(size):
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + items[picks[:, k]])
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + items[picks[:, k]])
                     keys.append(key.view(np.int64))
                     ids.append(np.full(len(key), name, np.int64))
             if keys:
@@ -338,10 +334,11 @@ def keep_one_per_group(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="do
     stays.
     """
     groups = ngram_groups(docs, words, percent, doc_id, text)
-    kept = groups.where("component_id <=> doc_id").groupBy("doc_id").agg(
-        F.count("*").alias("__rows"), F.max("n_shingles").alias("__n"))
-    kept = materialize(kept.withColumnRenamed("doc_id", "__id"))
-    stay = docs.join(kept, docs[doc_id].eqNullSafe(F.col("__id")))
-    single = (F.col("__rows") == 1) | (F.col("__n") == 0)
-    repeated = stay.where(~single).dropDuplicates([doc_id])
-    return stay.where(single).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    kept = materialize(groups.where("component_id <=> doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
+    plain, names = numbered(docs)
+    own = names[doc_id]
+    stay = plain.join(kept, F.col(own).eqNullSafe(F.col("doc_id")))
+    single = (F.col("rows") == 1) | (F.col("n") == 0)
+    repeated = stay.where(~single).dropDuplicates([own])
+    return stay.where(single).unionByName(repeated).select(*names.values()).toDF(*docs.columns)

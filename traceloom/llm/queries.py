@@ -1,7 +1,7 @@
 """The operators applied to the driver tables, and SQL for those that SQL can express."""
 
 from ..session import tune
-from .common import table
+from .common import small_batches, table
 
 QUERIES = {}
 ORACLES = {}
@@ -10,7 +10,7 @@ ORACLES = {}
 def query(name, oracle=None):
     def register(build):
         def run(spark, sf_dir):
-            return build(tune(spark), sf_dir)
+            return build(small_batches(tune(spark)), sf_dir)
 
         run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .hashing import Hashes, mix
 
 LENGTH = 100  # bytes of a string that must have occurred before
 GRAM = 36  # bytes by which a string's anchor is chosen
@@ -18,40 +19,6 @@ COMBINED = 2_000_000  # entries a map task holds before it sends them on
 BATCH = 1 << 16  # entries of a batch of the index family
 LAST_ID = (1 << 63) - 1  # null ids sort last
 
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BYTE = np.random.RandomState(11).randint(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {}
-
-
-def _mix(h):
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-class _Hashes:
-    """64-bit hashes of all substrings of a byte array."""
-
-    def __init__(self, data):
-        size = len(data) + 1
-        if len(_powers.get("up", ())) < size:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            length = max(size, 2 * SEGMENT + LENGTH)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                steps = np.full(length, base, np.uint64)
-                steps[0] = 1
-                _powers[name] = np.cumprod(steps)
-        self.sums = np.zeros(size, np.uint64)
-        np.cumsum(_BYTE[data] * _powers["up"][: size - 1], out=self.sums[1:])
-
-    def of(self, a, b):
-        return _mix((self.sums[b] - self.sums[a]) * _powers["down"][a])
-
-    def all(self, length):
-        count = len(self.sums) - length
-        return _mix((self.sums[length:] - self.sums[:count]) * _powers["down"][:count])
-
-
 def _window_minima(values, width):
     """Minimum of each run of `width` values, from running minima of blocks in both directions."""
     count = len(values) - width + 1
@@ -89,7 +56,7 @@ def anchors(pieces):
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     ends = np.cumsum([len(p[2]) for p in pieces])
     begins = ends - [len(p[2]) for p in pieces]
-    hashes = _Hashes(data)
+    hashes = Hashes(data)
     grams = hashes.all(GRAM)
     low = np.uint64((1 << 22) - 1)
     least = _window_minima((grams & ~low) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1)
@@ -102,7 +69,7 @@ def anchors(pieces):
     first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
     near, far = at - last, at - first
     run = hashes.of(first, last + LENGTH)
-    run = _mix(run + (near * 257 + far + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    run = mix(run + (near * 257 + far + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     piece = np.searchsorted(ends, at, "right")
     place = at - begins[piece] + np.asarray([p[1] for p in pieces])[piece]
     return piece, grams[at], run, place, near, far
@@ -139,7 +106,7 @@ def _again(array):
 
 
 def _keys(array):
-    return _mix(array["gram"] * np.uint64(0x9E3779B97F4A7C15) + array["run"])
+    return mix(array["gram"] * np.uint64(0x9E3779B97F4A7C15) + array["run"])
 
 
 class IndexFamily:
@@ -281,7 +248,7 @@ def _hash_strings(batches):
     for batch in batches:
         rows = {}
         for doc, tie, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes = _Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+            hashes = Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
             for run in asked:
                 at = np.arange(run["first"], run["last"] + 1)
                 rows.setdefault(run["bucket"], []).append(
