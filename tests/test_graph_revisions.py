@@ -160,7 +160,7 @@ def test_scenario_edits(spark):
     links = {(r.source_node_id, r.target_node_id, r.predicate, r.support_label) for r in e.collect()}
     assert links == {(swapped, "root", "PART_OF", "user_asserted"), ("o", swapped, "PRODUCES", "user_asserted"), (labels["Widget Foundry"].id, swapped, "SUPPLIES", "user_asserted")}
     skipped = {r.seq: r.reason for r in results.collect() if r.reason}
-    assert skipped == {4: "no such node, or the product root", 5: "add_node needs a kind", 6: "no such edge"}
+    assert skipped == {4: "node_unknown_or_root", 5: "kind_missing", 6: "edge_unknown"}
     assert nodes.count() == 4 and edges.count() == 3
 
 

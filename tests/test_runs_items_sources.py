@@ -170,7 +170,7 @@ def test_bom_csv(spark, tmp_path):
     assert {(r.label, r.warning) for r in warnings.collect()} == {("unknownite", "quantity_unknown"), ("a, b", "quantity_invalid")}
     path = write(tmp_path, "part,kind,qty\nx,component,1\ny,,2\nz,component\nw,component,1,9\n,component,1\nn,component,-1\ni,component,inf\n", "r.csv")
     rows, rejects, warnings = readers.read_bom_csv(spark, path)
-    assert sorted(r.reason for r in rejects.collect()) == ["kind", "label_length", "ragged_row", "ragged_row"]
+    assert sorted(r.reason for r in rejects.collect()) == ["kind", "label_empty", "ragged_row", "ragged_row"]
     assert {(r.label, r.quantity) for r in rows.collect()} == {("x", 1.0), ("n", None), ("i", None)}
 
 

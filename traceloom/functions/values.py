@@ -65,8 +65,10 @@ def digest(value):
     return F.sha2(col(value), 256)
 
 
-def excerpt(value, limit=800):
-    return F.left(F.to_json(col(value), {"ignoreNullFields": "false"}), F.lit(limit))
+def excerpt(value, limit=None):
+    """JSON of a value, its first `limit` characters if given."""
+    text = F.to_json(col(value), {"ignoreNullFields": "false"})
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 def _public_type(expr, dtype):

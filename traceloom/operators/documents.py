@@ -69,7 +69,7 @@ def quote_in_document(quotes: DataFrame, docs: DataFrame, key) -> DataFrame:
     """Quotes that name their document: the verbatim span, exact or tolerant, with its locator."""
     joined = quotes.join(docs, key)
     exact = F.contains(F.col("body"), F.col("quote"))
-    # rows with an exact hit never reach the Python worker
+    # an exact hit needs no normalised copy of the text
     hit = joined.where(exact).withColumn("span", F.col("quote"))
     rest = joined.where(~exact).withColumn("span", tx.locate_quote("body", "quote"))
     rows = hit.unionByName(rest.where("span is not null"))

@@ -9,12 +9,13 @@ from ..session import materialize
 from .running import top_per_key
 
 FIELDS = ("quantity", "unit", "material", "manufacturer", "part_number", "notes")
-MAX_ITEMS = 200
 
 
 def _kept_names(rows, max_items):
     first = rows.groupBy("request_id", "name_key").agg(F.min("ordinal").alias("first"))
-    return top_per_key(first, ["request_id"], ["first"], min(max_items, MAX_ITEMS)).select("request_id", "name_key", "first")
+    if max_items is None:
+        return first
+    return top_per_key(first, ["request_id"], ["first"], max_items).select("request_id", "name_key", "first")
 
 
 def _filled(columns, order="ordinal"):
@@ -24,12 +25,12 @@ def _filled(columns, order="ordinal"):
     ]
 
 
-def project_items(raw: DataFrame, registry: DataFrame, max_items=60, key=native_label_key):
+def project_items(raw: DataFrame, registry: DataFrame, max_items=None, key=native_label_key):
     """Merge composed rows into items: (items, sources, unknown ids).
 
     `raw` has request_id, ordinal, name, category, the optional fields, parent_name, evidence_ids,
-    general_knowledge and confidence; `registry` request_id, evidence_id, ref_type and ref. Rows of
-    one name merge; basis and confidence come from the best-supported row, earliest first. An item's
+    general_knowledge and confidence; `registry` request_id, evidence_id, ref_type and ref. All names
+    are kept unless `max_items` asks for the first ones only. Rows of one name merge; basis and confidence come from the best-supported row, earliest first. An item's
     sources stay rows of their own table, since nothing bounds how many there are.
     """
     rows = raw.withColumn("name_key", key(F.col("name")))
@@ -75,7 +76,7 @@ def project_items(raw: DataFrame, registry: DataFrame, max_items=60, key=native_
     return items, sources, unknown
 
 
-def fallback_items(evidence: DataFrame, max_items=60, key=native_label_key) -> DataFrame:
+def fallback_items(evidence: DataFrame, max_items=None, key=native_label_key) -> DataFrame:
     """Items straight from raw evidence when nothing was composed: never a guess."""
     rows = evidence.where(
         (F.coalesce("name", F.lit("")) != "") & (F.coalesce("category", F.lit("")) != "")
@@ -103,7 +104,7 @@ def curated_items(documents: DataFrame, components: DataFrame) -> DataFrame:
         "request_id",
         F.col("label").alias("name"),
         F.lit("component").alias("category"),
-        F.substring("rationale", 1, 300).alias("notes"),
+        F.col("rationale").alias("notes"),
         F.col("span").alias("quote"),
         "url",
         F.lit("high").alias("confidence"),

@@ -10,7 +10,6 @@ from ..functions import text as tx
 SPLIT = r"\s*(?:,|;|/|\(|\)|\bin\b|\bnear\b)\s*"
 STRIP_WORDS = ("facility", "plant", "factory", "site", "campus", "province", "city", "state")
 METHOD = "gazetteer_v1"
-NOTE = "Approximate centre from a reference gazetteer; not a facility address."
 INSTRUMENTS = {"tin": "inst_fixture_lme_sn", "copper": "inst_fixture_lme_cu"}
 # ---------------------------------------------------------------- end of fixed values
 
@@ -151,8 +150,8 @@ def evidenced_locations(nodes: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def unlocated_facilities(nodes, evidenced, limit=150) -> DataFrame:
-    """Facilities with no evidenced location, the follow-up list of at most `limit`."""
+def unlocated_facilities(nodes, evidenced, limit=None) -> DataFrame:
+    """Facilities with no evidenced location, the follow-up list; the first `limit` if given."""
     rows = nodes.where("kind = 'facility'").select("id")
     left = rows.join(evidenced.select(F.col("node_id").alias("id")), "id", "left_anti")
     return left.orderBy("id").limit(limit) if limit else left

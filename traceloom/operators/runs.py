@@ -183,10 +183,10 @@ def run_costs(usage: DataFrame, rate_in, rate_out, rate_search, by=("run_id",))
     return total.withColumn("cost_minor", values.cost_minor("input_tokens", "output_tokens", "searches", *rates))
 
 
-def open_questions(questions: DataFrame, by=("run_id",), k=100) -> DataFrame:
-    """The first `k` distinct questions per run, in order of first asking."""
+def open_questions(questions: DataFrame, by=("run_id",), k=None) -> DataFrame:
+    """The distinct questions per run with the place of their first asking; ranked if `k` is given."""
     first = questions.groupBy(*by, "question").agg(F.min("pos").alias("pos"))
-    return top_per_key(first, list(by), ["pos"], k)
+    return first if k is None else top_per_key(first, list(by), ["pos"], k)
 
 
 def history_tail(turns: DataFrame, by, order, k) -> DataFrame:

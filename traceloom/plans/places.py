@@ -69,7 +69,7 @@ def evidenced_locations(spark, sf):
 
 @query(
     "unlocated_facilities",
-    f"SELECT id FROM ({duck(LOCATED_NODES)}) WHERE kind = 'facility' AND id NOT IN (SELECT node_id FROM ({EVIDENCED_SQL})) ORDER BY id LIMIT 150",
+    f"SELECT id FROM ({duck(LOCATED_NODES)}) WHERE kind = 'facility' AND id NOT IN (SELECT node_id FROM ({EVIDENCED_SQL}))",
 )
 def unlocated_facilities(spark, sf):
     return pl.unlocated_facilities(frame(spark, sf, LOCATED_NODES), evidenced(spark, sf))
@@ -79,7 +79,7 @@ SUBJECTS = "SELECT concat('su:', CAST(s_suppkey AS STRING)) AS id, 'facility' AS
 OFFERED = """SELECT concat('su:', CAST(l_suppkey AS STRING)) AS subject_id, min(l_orderkey) AS ord, concat('c', CAST(min(l_orderkey) AS STRING)) AS claim_id, concat('N', CAST(l_partkey % 5 AS STRING)) AS country_iso2,
  CAST(NULL AS STRING) AS admin1, CAST(NULL AS STRING) AS city, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon,
  CASE WHEN l_partkey % 100 = 0 THEN 'address' WHEN l_linenumber < 3 THEN 'city' WHEN l_linenumber < 5 THEN 'region' ELSE 'country' END AS precision
-FROM {lineitem} WHERE l_shipdate > '2000-01-01' GROUP BY l_suppkey, l_partkey % 5, CASE WHEN l_partkey % 100 = 0 THEN 'address' WHEN l_linenumber < 3 THEN 'city' WHEN l_linenumber < 5 THEN 'region' ELSE 'country' END"""
+FROM {lineitem} GROUP BY l_suppkey, l_partkey % 5, CASE WHEN l_partkey % 100 = 0 THEN 'address' WHEN l_linenumber < 3 THEN 'city' WHEN l_linenumber < 5 THEN 'region' ELSE 'country' END"""
 
 
 @query(
@@ -100,7 +100,7 @@ ENRICHED = "SELECT concat('pt:', CAST(p_partkey AS STRING)) AS node_id, CASE WHE
 
 @query(
     "enrichment_outcomes",
-    f"""WITH n AS ({duck(ENRICHED)}), d AS (SELECT DISTINCT commodity FROM ({duck(DATASETS)}) WHERE year >= 2001 AND stage = 'mine'),
+    f"""WITH n AS ({duck(ENRICHED)}), d AS (SELECT DISTINCT commodity FROM ({duck(DATASETS)})),
  x AS (SELECT node_id, kind, p_name, unnest(['concentration', 'geography', 'market']) AS layer FROM n)
 SELECT node_id, layer, CASE WHEN kind IS NULL THEN 'unresolved' WHEN layer = 'concentration' AND kind <> 'material' THEN 'skipped'
   WHEN layer = 'concentration' AND p_name IN (SELECT commodity FROM d) THEN 'filled' WHEN layer = 'market' AND kind = 'material' AND p_name IN ('red bolt', 'old rod') THEN 'filled' ELSE 'unresolved' END AS outcome,
@@ -109,7 +109,7 @@ SELECT node_id, layer, CASE WHEN kind IS NULL THEN 'unresolved' WHEN layer = 'co
 )
 def enrichment_outcomes(spark, sf):
     nodes = frame(spark, sf, ENRICHED).withColumn("label_key", native_label_key("p_name"))
-    data = frame(spark, sf, DATASETS).where("year >= 2001 and stage = 'mine'")
+    data = frame(spark, sf, DATASETS)
     names = data.select(native_label_key("commodity").alias("label_key")).distinct()
     production = nodes.where("kind = 'material'").join(names, "label_key", "left_semi")
     none = nodes.where("node_id is null")

@@ -120,10 +120,10 @@ def resolution_candidates(spark, sf):
 
 @query(
     "record_identity",
-    f"""WITH f AS (SELECT l_partkey, l_linenumber, min(l_orderkey) AS ord FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
+    f"""WITH f AS (SELECT l_partkey, l_linenumber, min(l_orderkey) AS ord FROM lineitem GROUP BY ALL)
 SELECT concat('pt:', p_partkey) AS id, CASE WHEN bool_or(l_linenumber = 2) THEN 'mx' || p_partkey ELSE 'old ' || p_name || ' assembly of the main line' END AS label,
  CASE WHEN bool_or(l_linenumber = 3) THEN 'MP' || p_partkey END AS mpn,
- CAST(count(DISTINCT CASE l_linenumber WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' END) AS INT) AS aliases
+ CAST(count(DISTINCT CASE WHEN l_linenumber IS NULL THEN NULL WHEN l_linenumber = 1 THEN 'a' WHEN l_linenumber = 2 THEN 'b' ELSE 'c' END) AS INT) AS aliases
 FROM part LEFT JOIN f ON l_partkey = p_partkey GROUP BY p_partkey, p_name""",
 )
 def record_identity(spark, sf):
@@ -138,7 +138,7 @@ def record_identity(spark, sf):
         """SELECT concat('pt:', CAST(l_partkey AS STRING)) AS node_id, CASE l_linenumber WHEN 1 THEN concat('part ', p_name, ' with a long description')
          WHEN 2 THEN concat('mx', CAST(l_partkey AS STRING)) ELSE concat('plain ', p_name, ' long described item here') END AS label,
          CASE WHEN l_linenumber = 3 THEN concat(' MP', CAST(l_partkey AS STRING), ' ') END AS part_number, CAST(NULL AS STRING) AS manufacturer, l_orderkey AS ord
-         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber <= 3""",
+         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     )
     out = rs.record_identity(nodes, matched)
     return out.select("id", "label", "mpn", F.size("aliases").alias("aliases"))

@@ -193,11 +193,11 @@ def run_cost(spark, sf):
 
 @query(
     "open_questions",
-    """WITH q AS (SELECT user_id AS run_id, props AS question, min(event_id) AS pos FROM events GROUP BY ALL) SELECT run_id, question, pos, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS rank FROM q QUALIFY rank <= 20""",
+    """WITH q AS (SELECT user_id AS run_id, props AS question, min(event_id) AS pos FROM events GROUP BY ALL) SELECT run_id, question, pos FROM q""",
 )
 def open_questions(spark, sf):
     rows = frame(spark, sf, "SELECT user_id AS run_id, props AS question, event_id AS pos FROM {events}")
-    return rn.open_questions(rows, k=20).withColumn("rank", F.col("rank").cast("long"))
+    return rn.open_questions(rows)
 
 
 @query(
@@ -288,7 +288,7 @@ FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey"""
 REGISTRY = """SELECT o_orderkey AS request_id, concat('E', CAST(o_orderkey % 5 AS STRING)) AS evidence_id, 'web_page' AS ref_type, 'w' AS ref FROM {orders}
 UNION ALL SELECT o_orderkey, concat('S', CAST(o_orderkey % 3 AS STRING)), 'search_snippet', 's' FROM {orders}"""
 ITEMS_SQL = f"""r AS (SELECT *, trim(lower(name)) AS name_key, e = request_id % 5 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = request_id) AS web, s = request_id % 3 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = request_id) AS snip FROM ({duck(RAW)})),
- k AS (SELECT * FROM (SELECT request_id, name_key, min(ordinal) AS first FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY first) <= 3),
+ k AS (SELECT request_id, name_key, min(ordinal) AS first FROM r GROUP BY ALL),
  x AS (SELECT r.*, k.first, CASE WHEN web THEN 'evidenced' WHEN snip THEN 'inferred' ELSE 'guessed' END AS basis, CASE WHEN web THEN 0 WHEN snip THEN 1 ELSE 2 END AS rk FROM r JOIN k USING (request_id, name_key)),
  y AS (SELECT * REPLACE (CASE WHEN basis = 'guessed' AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence) FROM x),
  i AS (SELECT request_id, name_key, min(first) AS first, trim(arg_min(name, ordinal)) AS name, arg_min(basis, (rk, ordinal)) AS basis, arg_min(confidence, (rk, ordinal)) AS confidence,
@@ -309,7 +309,7 @@ def raw_items(spark, sf):
 FROM i LEFT JOIN i p ON i.request_id = p.request_id AND i.pk = p.name_key AND p.name_key <> i.name_key""",
 )
 def item_projection(spark, sf):
-    items, sources, _ = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY), 3)
+    items, sources, _ = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY))
     counts = sources.groupBy("request_id", "name_key").agg(F.count("*").alias("sources"))
     out = items.join(counts, ["request_id", "name_key"])
     return out.select(
@@ -322,14 +322,14 @@ def item_projection(spark, sf):
     f"""WITH {ITEMS_SQL} SELECT request_id, 'E' || e AS evidence_id, count(*) AS n FROM x WHERE NOT web GROUP BY ALL UNION ALL SELECT request_id, 'S' || s, count(*) FROM x WHERE NOT snip GROUP BY ALL""",
 )
 def unknown_evidence(spark, sf):
-    _, _, unknown = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY), 3)
+    _, _, unknown = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY))
     return unknown.groupBy("request_id", "evidence_id").agg(F.count("*").alias("n"))
 
 
 @query(
     "fallback_items",
     f"""WITH e AS (SELECT *, trim(lower(name)) AS name_key, CASE WHEN e = 1 THEN 'web_page' ELSE 'image_analysis' END AS ref_type, concat('ref', s) AS ref FROM ({duck(RAW)})),
- k AS (SELECT * FROM (SELECT request_id, name_key, min(ordinal) AS first FROM e GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY first) <= 4)
+ k AS (SELECT request_id, name_key, min(ordinal) AS first FROM e GROUP BY ALL)
 SELECT request_id, name_key, min(first) AS first, arg_min(name, ordinal) AS name, arg_min(manufacturer, ordinal) AS manufacturer, CASE WHEN bool_or(ref_type = 'web_page') THEN 'evidenced' ELSE 'inferred' END AS basis,
  CASE WHEN bool_or(ref_type = 'web_page') THEN 'medium' ELSE 'low' END AS confidence, count(DISTINCT ref) AS sources FROM e JOIN k USING (request_id, name_key) GROUP BY ALL""",
 )
@@ -337,7 +337,7 @@ def fallback_items(spark, sf):
     rows = raw_items(spark, sf)
     rows = rows.withColumn("ref_type", F.when(F.col("e") == 1, "web_page").otherwise("image_analysis"))
     rows = rows.withColumn("ref", F.concat(F.lit("ref"), F.col("s").cast("string")))
-    out = it.fallback_items(rows, 4)
+    out = it.fallback_items(rows)
     return out.select("request_id", "name_key", "first", "name", "manufacturer", "basis", "confidence", "sources")
 
 

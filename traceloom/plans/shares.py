@@ -141,7 +141,7 @@ FROM {supplier} WHERE s_suppkey % 2 = 0
 UNION ALL SELECT concat('fa:', CAST(s_suppkey AS STRING)), concat('og:', CAST(CAST(floor(s_suppkey / 10) AS BIGINT) AS STRING)),
   'OWNED_BY', CAST(NULL AS DOUBLE) FROM {supplier} WHERE s_suppkey % 2 = 1
 UNION ALL SELECT concat('fa:', CAST(l_suppkey AS STRING)), p_brand, 'MANUFACTURES', CAST(NULL AS DOUBLE)
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 40 GROUP BY l_suppkey, p_brand
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag <> 'A' GROUP BY l_suppkey, p_brand
 UNION ALL SELECT concat('og:', CAST(CAST(floor(l_suppkey / 10) AS BIGINT) AS STRING)), p_brand, 'MANUFACTURES',
   CASE WHEN max(l_quantity) >= 50 THEN 0.0625 END
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY CAST(floor(l_suppkey / 10) AS BIGINT), p_brand"""

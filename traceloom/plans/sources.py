@@ -18,7 +18,7 @@ BOM_ROWS = """SELECT CASE WHEN p_size = 7 THEN '' ELSE concat(p_name, ', "', CAS
     "bom_csv_rows",
     """WITH r AS (SELECT p_name || ', "' || p_partkey || '"' AS label, p_size, CASE WHEN p_type = 'ECONOMY' THEN 'material' ELSE 'component' END AS kind FROM part)
 SELECT label, kind, CASE WHEN p_size % 5 IN (0, 1) THEN NULL ELSE p_size::DOUBLE END AS quantity, 'ea' AS unit, CASE WHEN p_size % 5 = 0 THEN 'quantity_invalid' WHEN p_size % 5 = 1 THEN 'quantity_unknown' END AS warning, NULL::VARCHAR AS reason FROM r WHERE p_size NOT IN (7, 9)
-UNION ALL SELECT CASE p_size WHEN 7 THEN '' ELSE label END, NULL, NULL, NULL, NULL, CASE p_size WHEN 7 THEN 'label_length' ELSE 'kind' END FROM r WHERE p_size IN (7, 9)""",
+UNION ALL SELECT CASE p_size WHEN 7 THEN '' ELSE label END, NULL, NULL, NULL, NULL, CASE p_size WHEN 7 THEN 'label_empty' ELSE 'kind' END FROM r WHERE p_size IN (7, 9)""",
 )
 def bom_csv_rows(spark, sf):
     path = scratch_path(spark, "bom")

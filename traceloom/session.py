@@ -2,6 +2,7 @@
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,13 +56,14 @@ def shared_folder(spark):
     """The folder for intermediate tables: `spark.checkpoint.dir` of the session.
 
     On a cluster that setting names storage every executor reaches, so a lost executor never loses
-    an intermediate result. Only a local-mode session (tests) falls back to a temporary folder.
+    an intermediate result. Only a session with no executors of its own (`local[n]`, as in tests)
+    falls back to a temporary folder.
     """
     global _local_root
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
     if _local_root is None or not os.path.isdir(_local_root):
         scratch = tempfile.TemporaryDirectory(prefix="spark-traceloom-", ignore_cleanup_errors=True)
