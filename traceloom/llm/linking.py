@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import materialize, release
 
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _labelled(members, labels):
@@ -24,16 +24,31 @@ def _open(rows):
     return rows.join(mixed.where("groups > 1").select("bucket", "common"), "bucket")
 
 
+def _hooked(labels, links):
+    """Labels after each linked id took the smallest label next to it: ids of equal label are connected."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if labels is None:
+        near = ends.groupBy("a").agg(F.min("b").alias("near"))
+        return materialize(near.select(F.col("a").alias("node"), F.least("a", "near").alias("root")))
+    far = ends.join(labels, F.col("b") == F.col("node"), "left").select("a", F.coalesce("root", "b").alias("near"))
+    near = far.groupBy("a").agg(F.min("near").alias("near"))
+    both = labels.join(near, F.col("node") == F.col("a"), "full")
+    return materialize(both.select(
+        F.coalesce("node", "a").alias("node"), F.least(F.coalesce("root", "a"), "near").alias("root")))
+
+
 def _pairs(frame, a, b):
     return frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS, close=None) -> DataFrame:
+def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS, close=None,
+                  marks=None, not_far=None) -> DataFrame:
     """(node, root) of every id that is not its group's smallest; groups are connected by links.
 
-    `buckets` has distinct (bucket, id, sig); any two ids with a link share a bucket. `close` is a
-    condition on two `sig` columns that every link meets. `verify` takes (a, b) pairs and returns
-    those that are links.
+    `buckets` has distinct (bucket, id, sig). `close` is a condition on two `sig` columns; any two ids
+    with a link meet it in at least one bucket that they share. `marks` has (id, mark), and `not_far`
+    is a condition on two sigs and two marks that every link meets too. `verify` takes (a, b) pairs and
+    returns those that are links.
 
     In a few rounds each bucket that holds several groups tries its members against one of them, its
     pivot, another one in each round: as many pairs as members. A bucket of near copies becomes one
@@ -54,18 +69,25 @@ def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS, close=None) -> Data
                 near(sig, F.col("pivot.sig")))
             pairs = _pairs(tried, F.col("id"), F.col("pivot.id"))
         else:
-            few = rows.where("label <> common").select(
-                "bucket", F.col("id").alias("few"), F.col("label").alias("few_label"), sig.alias("few_sig"))
-            tried = rows.join(few, "bucket").where("label <> few_label").where(near(sig, F.col("few_sig")))
+            every = rows.withColumn("mark", F.lit(0)) if marks is None else rows.join(marks, "id")
+            few = every.where("label <> common").select(
+                "bucket", F.col("id").alias("few"), F.col("label").alias("few_label"), sig.alias("few_sig"),
+                F.col("mark").alias("few_mark"))
+            tried = every.join(few, "bucket").where("label <> few_label").where(near(sig, F.col("few_sig")))
+            if not_far:
+                tried = tried.where(not_far(sig, F.col("few_sig"), F.col("mark"), F.col("few_mark")))
             pairs = _pairs(tried, F.col("id"), F.col("few"))
         found = materialize(verify(pairs))
         release(rows)
-        if found.isEmpty():
+        if found.isEmpty() and (turn != rounds - 1 or links is None):
             if turn == 0 and members.isEmpty():
                 break
             continue
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, "a", "b")
+        if turn < rounds - 1:
+            labels = _hooked(labels, found)
+        else:
+            labels = connected_components(links, "a", "b")
     if labels is None:
         kind = members.schema["id"].dataType.simpleString()
         return members.sparkSession.createDataFrame([], f"node {kind}, root {kind}")

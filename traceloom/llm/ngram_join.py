@@ -16,6 +16,7 @@ from .linking import linked_groups
 WORDS = 5
 PERCENT = 75  # links from intersection * 100 >= PERCENT * union
 BUCKET_ITEMS = 2_000_000  # n-grams of a bucket that one task holds
+MARKS = ("m0", "m1", "m2", "m3")
 MOST_SMALL = 12  # subsets are considered for sets of up to so many n-grams
 
 _BLANK = np.zeros(256, bool)
@@ -202,6 +203,18 @@ def _items(batches):
                  pa.array(flat)], names=["id", "n", "item"])
 
 
+def _marks(batches):
+    """256 parity bits per set: two sets differ in at least as many items as their marks in bits."""
+    for batch in batches:
+        rows = []
+        for raw in batch.column(1).to_pylist():
+            odd = np.bincount(np.frombuffer(raw, np.uint64) & np.uint64(255), minlength=256) & 1
+            rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        table = np.asarray(rows, np.int64).reshape(-1, len(MARKS))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array(table[:, i]) for i in range(len(MARKS))]], names=["id", *MARKS])
+
+
 def _partners(n, most, percent):
     """(size, intersection) of the sets of at most `most` n-grams that a set of n can be linked to."""
     for b in range(-(-percent * n // 100), min(most, 100 * n // percent) + 1):
@@ -293,11 +306,26 @@ def link_sets(sets: DataFrame, percent=PERCENT) -> DataFrame:
     ranked = scanned.withColumn("rank", F.row_number().over(own.orderBy("sets", "item"))).withColumn(
         "shared", F.count("*").over(own))
     first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    lists = ranked.where(F.col("rank") <= first - (F.col("n") - F.col("shared"))).select(
-        F.col("item").alias("bucket"), "id")
+    # rank among all of the set's items: those that no other set has come first
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("n") - F.col("shared"))
+    lists = ranked.where(F.col("rank") <= first).select(
+        F.col("item").alias("bucket"), "id", F.struct("n", (F.col("n") - F.col("rank") + 1).alias("rest")).alias("sig"))
     subsets = sets.where(F.col("n") <= small).select("id", "n", "hashes").mapInArrow(
-        _subsets(small, percent), "bucket long, id long")
-    groups = linked_groups(lists.unionByName(subsets).distinct(), _verified(sets, percent))
+        _subsets(small, percent), "bucket long, id long").join(sets.select("id", "n"), "id").select(
+        "bucket", "id", F.struct("n", F.col("n").alias("rest")).alias("sig")).distinct()
+
+    def may_link(a, b):
+        """In the list of the first item two sets share, what is left of both must hold their overlap."""
+        return (100 + percent) * F.least(a["rest"], b["rest"]) >= percent * (a["n"] + b["n"])
+
+    def not_far(a, b, x, y):
+        apart = sum((F.bit_count(x[m].bitwiseXOR(y[m])) for m in MARKS), F.lit(0))
+        return (100 + percent) * apart <= (100 - percent) * (a["n"] + b["n"])
+
+    marks = materialize(sets.select("id", "hashes").mapInArrow(
+        _marks, "id long, " + ", ".join(f"{m} long" for m in MARKS)).select("id", F.struct(*MARKS).alias("mark")))
+    groups = linked_groups(
+        lists.unionByName(subsets), _verified(sets, percent), close=may_link, marks=marks, not_far=not_far)
     release(items)
     return groups
 
