@@ -104,8 +104,8 @@ def quote_window(spark, sf):
 # every document cites the passage it holds with line breaks and quotes retyped
 @query(
     "quote_tolerant",
-    """SELECT item_id AS quote_id, doc_id, 'chars ' || (at - 1) || ':' || (at - 1 + length(quote)) AS locator
-FROM (SELECT item_id, doc_id, b.text AS quote, strpos(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE quote <> ''""",
+    """SELECT item_id AS quote_id, doc_id, 'chars ' || (pos - 1) || ':' || (pos - 1 + length(quote)) AS locator
+FROM (SELECT item_id, doc_id, b.text AS quote, strpos(d.text, b.text) AS pos FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE quote <> ''""",
 )
 def quote_tolerant(spark, sf):
     quotes, docs = quotes_and_docs(spark, sf)
