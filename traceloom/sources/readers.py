@@ -4,7 +4,7 @@ Each reader validates with DataFrame operations and returns its rejects as table
 """
 
 import csv
-import os
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from ..operators.traverse import parent_faults
 LABEL_COLUMNS = ("component", "part", "part_name", "name", "material", "description")
 # ---------------------------------------------------------------- end of fixed values
 
-GAZETTEER = os.path.join(os.path.dirname(__file__), "gazetteer.json")
+GAZETTEER = "gazetteer.json"  # our own small table, shipped with the package
 
 
 def _header(spark, path):
@@ -164,14 +164,22 @@ def production_names(rows: DataFrame, key=native_label_key) -> DataFrame:
     return named.withColumn("name_key", key(F.col("name"))).drop("name")
 
 
-def read_gazetteer(spark, path=GAZETTEER):
-    """(countries, regions, cities) of a gazetteer file, each with its entry order."""
+def read_gazetteer(spark, path=None):
+    """(countries, regions, cities) of a gazetteer file, each with its entry order.
+
+    Without a path the package's own table is used. It lies with the driver's code, where executors
+    do not reach, so the driver reads it and hands it on as a literal.
+    """
     schema = (
         "countries map<string,struct<name:string,aliases:array<string>,lat:double,lon:double>>, "
         "regions array<struct<name:string,aliases:array<string>,country:string,lat:double,lon:double>>, "
         "cities array<struct<name:string,aliases:array<string>,admin1:string,country:string,lat:double,lon:double>>"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    if path is None:
+        text = resources.files(__package__).joinpath(GAZETTEER).read_text(encoding="utf-8")
+        raw = spark.range(1).select(F.from_json(F.lit(text), schema).alias("g")).select("g.*")
+    else:
+        raw = spark.read.schema(schema).option("multiLine", True).json(path)
     countries = raw.select(F.posexplode("countries").alias("pos", "code", "e")).select("pos", "code", "e.*")
     regions = raw.select(F.posexplode("regions").alias("pos", "e")).select("pos", "e.*")
     cities = raw.select(F.posexplode("cities").alias("pos", "e")).select("pos", "e.*")
@@ -192,17 +200,20 @@ def read_curated(spark, path):
     document carries findings between named entities."""
     raw = spark.read.schema(CURATED).option("multiLine", True).json(path)
     parts = raw.select("product", F.posexplode("components").alias("n", "c"))
-    deep = raw.select("product", F.posexplode("deep_documents").alias("n", "d"))
+    parted = F.coalesce(F.size("components"), F.lit(0)).alias("parts")
+    deep = raw.select("product", parted, F.posexplode("deep_documents").alias("n", "d"))
     seq = F.col("n").cast("long")
+    # deep documents are numbered after the product's components
+    deep_seq = (F.col("n") + F.col("parts")).cast("long")
     none = F.lit(None).cast("string")
-    shallow_docs = parts.select("product", seq.alias("document_seq"), "c.url", "c.title", "c.publisher", F.col("c.span").alias("body"))
-    deep_docs = deep.select("product", (seq + 1000000).alias("document_seq"), "d.url", "d.title", "d.publisher", "d.body")
+    shallow_docs = parts.select("product", seq.alias("document_seq"), "c.url", "c.title", "c.publisher", F.col("c.span").alias("body"), F.lit("component").alias("depth"))
+    deep_docs = deep.select("product", deep_seq.alias("document_seq"), "d.url", "d.title", "d.publisher", "d.body", F.lit("deep").alias("depth"))
     shallow = parts.select(
         "product", seq.alias("document_seq"), F.lit(0).cast("long").alias("ordinal"), "c.url", "c.kind", "c.label", "c.predicate",
         none.alias("object_kind"), none.alias("object_label"), F.lit("product").alias("scope_type"), "c.span", "c.rationale",
         F.lit("directly_supported").alias("support_label"), "c.part_number", "c.manufacturer", none.alias("target_label"),
     )
-    deeper = deep.select("product", (seq + 1000000).alias("document_seq"), F.col("d.url").alias("url"), F.col("d.target").alias("target_label"), F.posexplode("d.findings").alias("o", "f"))
+    deeper = deep.select("product", deep_seq.alias("document_seq"), F.col("d.url").alias("url"), F.col("d.target").alias("target_label"), F.posexplode("d.findings").alias("o", "f"))
     deeper = deeper.select(
         "product", "document_seq", F.col("o").cast("long").alias("ordinal"), "url", F.col("f.subject_kind").alias("kind"), F.col("f.subject").alias("label"),
         "f.predicate", "f.object_kind", F.col("f.object").alias("object_label"), F.lit("product").alias("scope_type"), "f.span", "f.rationale",
@@ -220,7 +231,7 @@ def curated_findings(pages: DataFrame, documents: DataFrame, findings: DataFrame
     """
     shallow = findings.where("target_label is null").drop("url", "document_seq")
     spans = pages.join(shallow, "product").where(F.contains("body", F.col("span"))).drop("body")
-    hashed = documents.where("document_seq >= 1000000").select("product", "document_seq", F.sha2("body", 256).alias("h"))
+    hashed = documents.where("depth = 'deep'").select("product", "document_seq", F.sha2("body", 256).alias("h"))
     deep = pages.withColumn("h", F.sha2("body", 256)).join(hashed, ["product", "h"]).select("product", "url", "document_seq")
     exact = deep.join(findings.drop("url"), ["product", "document_seq"]).drop("document_seq")
     return spans.unionByName(exact, allowMissingColumns=True)

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from ..functions.values import public
 from ..operators.revisions import export_index
 
-SHARES_PER_FEATURE = 10000
-
 
 def save_revision(rows: DataFrame, path):
-    """Append immutable snapshot rows partitioned by graph and revision."""
-    rows.write.mode("append").partitionBy("graph_id", "revision").parquet(path)
+    """Write immutable snapshot rows partitioned by graph and revision. A retried write replaces the
+    partitions of its revision instead of doubling them; other revisions are not touched."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "graph_id", "revision").parquet(path)
 
 
 def append_events(events: DataFrame, path):
@@ -63,21 +63,13 @@ def facility_features(nodes: DataFrame, evidenced: DataFrame) -> DataFrame:
     )
 
 
-def country_features(shares: DataFrame, per_feature=SHARES_PER_FEATURE) -> DataFrame:
-    """GeoJSON features of country shares, sorted by material.
-
-    A country with more than `per_feature` shares becomes several numbered features, so no list
-    grows without bound; every share is kept.
-    """
-    part = F.pmod(F.xxhash64("material_node_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / per_feature)))
-    sized = shares.join(shares.groupBy("country").agg(F.count("*").alias("n")), "country")
-    rows = sized.withColumn("part", F.when(F.col("n") <= per_feature, F.lit(0)).otherwise(part).cast("int"))
-    item = F.struct("material_node_id", "commodity", "share", "year")
-    grouped = rows.groupBy("country", "part").agg(F.sort_array(F.collect_list(item)).alias("shares"))
+def country_features(shares: DataFrame) -> DataFrame:
+    """GeoJSON features of country shares, one per country and material: always the same shape, and no
+    list that grows with a country's materials."""
     properties = F.struct(
-        F.lit("country").alias("feature_kind"), F.col("country").alias("country_iso2"), "part", "shares"
-    )
-    return grouped.select(
+        F.lit("country").alias("feature_kind"), F.col("country").alias("country_iso2"), "material_node_id",
+        "commodity", "share", "year")
+    return shares.select(
         F.to_json(
             F.struct(F.lit("Feature").alias("type"), F.lit(None).cast("string").alias("geometry"), properties.alias("properties")),
             {"ignoreNullFields": "false"},
