@@ -240,46 +240,50 @@ def _scan(table):
     return pa.concat_tables(out)
 
 
-STRINGS = "bucket int, hash binary, doc binary, tie binary, first binary, count binary"
+STRINGS = "bucket int, gram binary, hash binary, doc binary, tie binary, first binary, count binary"
 
 
 def _hash_strings(batches):
-    """Hashes of every string of the runs asked for, per bucket."""
+    """The gram hash of the runs asked for and the hashes of their strings, all of 64 bits, per bucket."""
+    low = np.uint64((1 << 22) - 1)
     for batch in batches:
         rows = {}
         for doc, tie, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
             hashes = Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
             for run in asked:
                 at = np.arange(run["first"], run["last"] + 1)
-                rows.setdefault(run["bucket"], []).append(
-                    (_six(hashes.of(at, at + LENGTH) & LOW), doc, tie, run["first"], len(at)))
+                grams = np.arange(run["first"], run["first"] + LENGTH - GRAM + 1)
+                grams = hashes.of(grams, grams + GRAM)
+                rows.setdefault(run["bucket"], []).append((
+                    grams[np.argmin(grams & ~low)], hashes.of(at, at + LENGTH).tobytes(),
+                    doc, tie, run["first"], len(at)))
         if rows:
-            columns = [[], [], [], [], [], []]
+            columns = [[], [], [], [], [], [], []]
             for bucket, runs in rows.items():
                 parts = list(zip(*runs))
-                values = (bucket, b"".join(parts[0]), np.asarray(parts[1], "<i8").tobytes(),
-                          np.asarray(parts[2], "<u4").tobytes(), np.asarray(parts[3], "<u4").tobytes(),
-                          np.asarray(parts[4], "u1").tobytes())
+                values = (bucket, np.asarray(parts[0], "<u8").tobytes(), b"".join(parts[1]),
+                          np.asarray(parts[2], "<i8").tobytes(), np.asarray(parts[3], "<u4").tobytes(),
+                          np.asarray(parts[4], "<u4").tobytes(), np.asarray(parts[5], "u1").tobytes())
                 for column, value in zip(columns, values):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                names=["bucket", "hash", "doc", "tie", "first", "count"])
+                names=["bucket", "gram", "hash", "doc", "tie", "first", "count"])
 
 
 def _repeated_strings(table):
-    """Runs of strings that another one, earlier in the corpus, equals."""
+    """Runs of strings that another one, earlier in the corpus, equals: one of the same gram and hash."""
     get = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     count = get("count", "u1").astype(np.int64)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     doc, tie = np.repeat(get("doc", "<i8"), count), np.repeat(get("tie", "<u4"), count)
     place = np.repeat(get("first", "<u4"), count).astype(np.int64) + step
-    hashes = _from_six(table["hash"].to_pylist())
-    order = np.lexsort((place, tie, doc, hashes))
+    grams, hashes = np.repeat(get("gram", "<u8"), count), get("hash", "<u8")
+    order = np.lexsort((place, tie, doc, hashes, grams))
     later = np.zeros(len(order), bool)
     a, b = order[:-1], order[1:]
     one = (doc[a] == doc[b]) & (tie[a] == tie[b]) & (place[a] == place[b])  # of rows that are repeated
-    later[1:] = (hashes[a] == hashes[b]) & ~one
+    later[1:] = (hashes[a] == hashes[b]) & (grams[a] == grams[b]) & ~one
     own = order[later]
     own = own[np.lexsort((place[own], tie[own], doc[own]))]
     doc, tie, place = doc[own], tie[own], place[own]
@@ -358,8 +362,9 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     earlier start) is removed; strings are those of the input, whole texts as UTF-8, and never cross
     documents. Null text is empty. Null ids sort last. Documents that share an id but not a text are
     ordered by a hash of the text; rows that repeat an id and a text are one document and get the same
-    row each. An empty table gives no rows. Other columns are not read. Hashes have 48 bits within a
-    bucket: a run is taken for repeated if gram and run, 96 bits, agree.
+    row each. An empty table gives no rows. Other columns are not read. Bytes are not
+    compared: a run is taken for repeated if its gram's and its own hash, 48 bits each, agree, and a
+    string at the edge of a match if its gram's and its own hash, 64 bits each, do.
     """
     runs = materialize(repeated_runs(docs, doc_id, text))
     per = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
