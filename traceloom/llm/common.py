@@ -49,6 +49,21 @@ def text_groups(batch, column, characters=1_000_000):
 
 
 def small_batches(spark):
-    """Smaller Arrow batches than Spark's 10,000 rows: whole texts are long, and workers share memory."""
+    """Arrow batches of at most 1,000 rows and some 8 MB: texts are long, and workers share memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
+
+
+_cache = {}
+
+
+def word_cache(owner):
+    """The one cache of words that a Python worker holds; what another operator left is given back.
+
+    Workers are used again by later stages, so caches of their own would add up in an executor.
+    """
+    if owner not in _cache:
+        _cache.clear()
+        _cache[owner] = {}
+    return _cache[owner]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.running import running_totals
-from .common import materialize, text_groups
+from .common import materialize, text_groups, word_cache
 
 CAPACITY = 2048
 END = 0
@@ -18,7 +18,7 @@ CACHED_LENGTH = 48
 CLOSING = ".,;:!?*#$%&"  # marks that end a word
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_tokenizer, _ids_of = {}, {}
+_tokenizer = {}
 
 
 def default_vocabulary():
@@ -63,7 +63,7 @@ def encode_texts(texts, path):
     The vocabulary ignores case, drops blanks and never joins what they part, so a text's ids are
     those of its words in a row; words seen before are looked up. The cache is emptied when full.
     """
-    cache = _ids_of.setdefault(path, {})
+    cache = word_cache(f"ids of {path}")
     split = [text.encode().lower().decode().replace("\n", " ").split(" ") for text in texts]
     new = {w for words in split for w in words if w not in cache}
     if len(cache) + 2 * len(new) > CACHED_WORDS:

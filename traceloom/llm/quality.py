@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_groups
+from .common import materialize, numbered, text_groups, word_cache
 
 BUCKETS = 1 << 14  # words are hashed to so many vectors: 16,384 x 48, whatever the corpus
 DIMS = 48
@@ -23,8 +23,6 @@ CACHED_WORDS = 400_000
 REPEAT = 0  # stands for a word that is the word before it once more
 GAP = BUCKETS  # between documents: the window does not reach over it
 
-_units_of = {}
-
 
 def _bucket(unit):
     return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % BUCKETS
@@ -49,21 +47,48 @@ def _units(word):
 
 def word_units(texts):
     """The unit buckets of each whole text; words seen before are looked up in a bounded cache."""
+    cache = word_cache("units")
     split = [text.split() for text in texts]
-    new = {w for words in split for w in words if w not in _units_of}
-    if len(_units_of) + len(new) > CACHED_WORDS:
-        _units_of.clear()
+    new = {w for words in split for w in words if w not in cache}
+    if len(cache) + len(new) > CACHED_WORDS:
+        cache.clear()
         new = {w for words in split for w in words}
-    _units_of.update((w, _units(w)) for w in new)
-    out = [np.frombuffer(bytearray().join(map(_units_of.__getitem__, words)), "<u2") for words in split]
+    cache.update((w, _units(w)) for w in new)
+    out = [np.frombuffer(bytearray().join(map(cache.__getitem__, words)), "<u2") for words in split]
     for units in out:
         units[1:][units[1:] == units[:-1]] = REPEAT
     for word in new:
         if len(word) > 64:
-            del _units_of[word]
+            del cache[word]
     return out
 
 
+def tokenised(docs: DataFrame, text="text", keep=True):
+    """`docs` under the names c0, c1, ..., with the unit buckets of every whole text, written once.
+
+    Units are 16-bit numbers in a binary column `units`: all later passes read them in place of the
+    text. Without `keep` the text itself is left out.
+    """
+    plain, names = numbered(docs)
+    at = docs.columns.index(text)
+    kept = [i for i in range(len(docs.columns)) if keep or i != at]
+    schema = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in kept) + ", units binary"
+
+    def units(batches):
+        for batch in batches:
+            for part in text_groups(batch, at):
+                found = word_units([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(i) for i in kept], pa.array([u.tobytes() for u in found], pa.binary())],
+                    names=[*[f"c{i}" for i in kept], "units"])
+
+    return materialize(plain.mapInArrow(units, schema)), names
+
+
+def _streams(column):
+    return [np.frombuffer(u, "<u2") for u in column.to_pylist()]
+
+
 def _index_vectors():
     """Places and signs of the non-zero entries of every word's sparse ternary index vector."""
     random = np.random.RandomState(17)
@@ -88,10 +113,9 @@ def _context_sums(batches):
                     sums[:] += np.bincount(word * DIMS + places[near, j], signs[near, j], BUCKETS * DIMS)
 
     for batch in batches:
-        for part in text_groups(batch, 0):
-            for units in word_units([t or "" for t in part.column(0).to_pylist()]):
-                held += [units, np.full(WINDOW, GAP, "<u2")]
-                n += len(units)
+        for units in _streams(batch.column(0)):
+            held += [units, np.full(WINDOW, GAP, "<u2")]
+            n += len(units)
             if n > 400_000:
                 add()
                 held, n = [], 0
@@ -104,14 +128,14 @@ def _context_sums(batches):
         names=["bucket", "n"] + [f"d{d}" for d in range(DIMS)])
 
 
-def word_vectors(docs: DataFrame, text="text"):
-    """(vectors, weights) of every bucket, gathered from all documents.
+def word_vectors(tokens: DataFrame):
+    """(vectors, weights) of every bucket, gathered from the units of all documents.
 
     Sums combine in the map tasks; the driver gets at most `BUCKETS` rows whatever the corpus.
     """
     dims = [f"d{d}" for d in range(DIMS)]
     schema = "bucket int, n long, " + ", ".join(f"{d} double" for d in dims)
-    sums = docs.select(text).mapInArrow(_context_sums, schema).groupBy("bucket").agg(
+    sums = tokens.select("units").mapInArrow(_context_sums, schema).groupBy("bucket").agg(
         F.sum("n").alias("n"), *[F.sum(d).alias(d) for d in dims]).toArrow()
     vectors, counts = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS)
     if sums.num_rows:
@@ -124,11 +148,10 @@ def word_vectors(docs: DataFrame, text="text"):
     return vectors.astype(np.float32), (RARE / (RARE + counts / total)).astype(np.float32)
 
 
-def _pooled(texts, vectors, weights):
+def _pooled(units, vectors, weights):
     """Per document: weighted and plain mean of its word vectors, and log of its length."""
-    units = word_units(texts)
-    sizes = np.asarray([len(u) for u in units])
-    out = np.zeros((len(texts), 2 * DIMS + 1), np.float32)
+    sizes = np.asarray([len(u) for u in units], np.int64)
+    out = np.zeros((len(units), 2 * DIMS + 1), np.float32)
     out[:, -1] = np.log1p(sizes)
     full = np.flatnonzero(sizes)
     if len(full):
@@ -182,29 +205,42 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, rows=LABELLED_ROWS, doc_id="doc_id", text="text"):
-    """A model {vectors, weights, net or rate}.
+def _parts(units, size=500_000):
+    """Slices of a list of streams that hold about so many units, a longer stream by itself."""
+    at, held = 0, 0
+    for i, own in enumerate(units):
+        if held and held + len(own) > size:
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(own)
+    yield slice(at, len(units))
+
+
+def train_quality(tokens: DataFrame, labels: DataFrame, doc_id, rows=LABELLED_ROWS):
+    """A model {vectors, weights, net or rate} from `tokenised` documents, whose id is column `doc_id`.
 
     Word vectors come from all documents. The network is fitted on at most `rows` labelled documents
     outside the held-out quarter, the smallest by hash of the id. Labels that are null, or of
     documents that are not there, are not used. With one label or none every score is the share of
     label 1 (0.5 without labels).
     """
-    vectors, weights = word_vectors(docs, text)
+    vectors, weights = word_vectors(tokens)
     own = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     sample = own.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("double").alias("label"))
     sample = sample.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(rows)
-    picked = docs.select(F.col(doc_id).alias("l_id"), F.col(text).alias("l_text")).join(sample, "l_id")
+    # at most `rows` ids and labels: small enough to broadcast at any size of the corpus
+    picked = tokens.select(F.col(doc_id).alias("l_id"), "units").join(F.broadcast(sample), "l_id")
 
     def pool(batches):
         for batch in batches:
-            for part in text_groups(batch, 2):
-                x = _pooled([t or "" for t in part.column(2).to_pylist()], vectors, weights)
+            units = _streams(batch.column(2))
+            for part in _parts(units):
+                x = _pooled(units[part], vectors, weights)
+                ids, known = (batch.column(i)[part.start : part.stop] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())],
-                    names=["l_id", "label", "x"])
+                    [ids, known, pa.array([r.tobytes() for r in x], pa.binary())], names=["l_id", "label", "x"])
 
-    got = picked.select("l_id", "label", "l_text").mapInArrow(pool, "l_id long, label double, x binary").toArrow()
+    got = picked.select("l_id", "label", "units").mapInArrow(pool, "l_id long, label double, x binary").toArrow()
     got = got.sort_by([("l_id", "ascending"), ("label", "ascending"), ("x", "ascending")])
     y = got["label"].to_numpy() if got.num_rows else np.zeros(0)
     model = {"vectors": vectors, "weights": weights, "net": None, "rate": float(y.mean()) if len(y) else 0.5}
@@ -215,39 +251,42 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows=LABELLED_ROWS, doc_id
     return model
 
 
-def _scored(docs, model, text):
-    """`docs` with columns c0, c1, ... and `score`; numbered names clash with nothing."""
-    at = docs.columns.index(text)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", score double"
+def _scored(tokens, model):
+    """The columns of `tokens`, with `score` in place of the units."""
+    at = tokens.columns.index("units")
+    kept = [i for i in range(len(tokens.columns)) if i != at]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema if f.name != "units")
 
     def score(batches):
         for batch in batches:
-            for part in text_groups(batch, at):
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                if model["net"] is None:
-                    scores = np.full(len(texts), model["rate"])
-                else:
-                    scores = network_scores(_pooled(texts, model["vectors"], model["weights"]), model["net"])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
+            units = _streams(batch.column(at))
+            scores = np.full(len(units), model["rate"])
+            if model["net"] is not None:
+                for part in _parts(units):
+                    scores[part] = network_scores(_pooled(units[part], model["vectors"], model["weights"]), model["net"])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in kept], pa.array(scores, pa.float64())],
+                names=[*[batch.schema.names[i] for i in kept], "score"])
 
-    return plain.mapInArrow(score, schema)
+    return tokens.mapInArrow(score, f"{schema}, score double")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, accept=ACCEPT, doc_id="doc_id", text="text"):
     """One row per document: doc_id, held_out, score, predicted (1 from `accept`).
 
-    Whole texts are scored; null and empty ones have the score of a text without words. Repeated rows are scored alike, each for itself; a null id counts as not held out. An empty table
-    gives no rows. Columns other than id and text are not read, and the id is no input of the score.
+    Whole texts are scored; null and empty ones have the score of a text without words. Repeated rows
+    are scored alike, each for itself; a null id counts as not held out. An empty table gives no rows.
+    Columns other than id and text are not read, and the id is no input of the score. Texts are read
+    and split once; training and scoring read the units that this leaves.
     """
-    model = train_quality(docs, labels, doc_id=doc_id, text=text)
-    scored = _scored(docs.select(doc_id, text), model, text)
+    tokens, names = tokenised(docs.select(doc_id, text), text, keep=False)
+    scored = _scored(tokens, train_quality(tokens, labels, names[doc_id]))
     return scored.select(F.col("c0").alias("doc_id"), held_out("c0").alias("held_out"), "score",
                          (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, accept=ACCEPT, doc_id="doc_id", text="text"):
     """The rows of `docs`, all columns, that the classifier does not reject."""
-    model = train_quality(docs, labels, doc_id=doc_id, text=text)
-    return _scored(docs, model, text).where(F.col("score") >= accept).drop("score").toDF(*docs.columns)
+    tokens, names = tokenised(docs, text)
+    scored = _scored(tokens, train_quality(tokens, labels, names[doc_id]))
+    return scored.where(F.col("score") >= accept).select(*names.values()).toDF(*docs.columns)
