@@ -1,0 +1,97 @@
+"""Seen ranges, completion and numbering of streams whose events come late, twice and in any file."""
+
+import random
+from datetime import timedelta
+
+import numpy as np
+from hypothesis import given, settings, strategies as st_
+from test_streaming import START, drain, event, write_batches
+
+from traceloom.streaming import events as st
+from traceloom.streaming import ranges as rg
+
+
+@given(st_.lists(st_.tuples(st_.integers(0, 40), st_.integers(0, 6)), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_merged_ranges(pairs):
+    firsts, lasts = rg.merged([a for a, _ in pairs], [a + n for a, n in pairs])
+    seen = sorted({x for a, n in pairs for x in range(a, a + n + 1)})
+    assert [x for a, b in zip(firsts, lasts) for x in range(a, b + 1)] == seen
+    assert (np.asarray(firsts[1:]) > np.asarray(lasts[:-1]) + 1).all()
+
+
+def gaps_of(after, seqs):
+    seen = sorted({after, *[s for s in seqs if s > after]})
+    return [(a, b - 1) for a, b in zip(seen, seen[1:]) if b > a + 1]
+
+
+def test_progress_in_any_order(spark, tmp_path):
+    rng = random.Random(3)
+    numbers = {s: [i for i in range(1, rng.randint(3, 60)) if rng.random() < 0.8] for s in "abcdefgh"}
+    numbers["hot"] = [i for i in range(1, 4000) if i % 500]
+    rows = [event(s, i, payload='{"status":"completed"}' if i == max(own) else "{}") for s, own in numbers.items() for i in own for _ in range(1 + i % 2)]
+    rng.shuffle(rows)
+    cursors = {"a": 7, "hot": 1000, "gone": 4, "b": 999}
+    held = spark.createDataFrame(list(cursors.items()), "stream_id string, after long")
+    path = tmp_path / "in"
+    seen, last = [], {}
+    for k in range(4):  # the query stops and starts again from its checkpoint between files
+        write_batches(spark, path, rows[k::4])
+        seen += rows[k::4]
+        got = []
+        stream = rg.stream_progress(st.tail(spark, str(path)), held)
+        drain(stream, tmp_path, "progress", "update", lambda batch, _, got=got: got.extend(batch.collect()))
+        for r in got:
+            last[r.stream_id] = r
+        for s in {r[0] for r in rows[k::4]}:
+            own = [r[2] for r in seen if r[0] == s]
+            assert [tuple(g) for g in last[s].gaps] == gaps_of(cursors.get(s, 0), own), (k, s)
+            assert last[s].head == max([*own, cursors.get(s, 0)])
+    table = rg.progress_table(rg.range_rows(spark.read.parquet(str(path))), held).collect()
+    for r in table:
+        assert [tuple(g) for g in r.gaps] == gaps_of(cursors.get(r.stream_id, 0), numbers.get(r.stream_id, []))
+        assert r.beyond == (cursors.get(r.stream_id, 0) > max(numbers.get(r.stream_id, [0])))
+    assert {r.stream_id for r in table if r.beyond} == {"gone", "b"}
+
+
+def test_no_false_gap_after_a_cursor_or_within_a_batch(spark, tmp_path):
+    path = tmp_path / "in"
+    write_batches(spark, path, [event("a", i) for i in (9, 6, 8)], [event("a", 7)], [event("a", 11), event("b", 1)])
+    held = spark.createDataFrame([("a", 5)], "stream_id string, after long")
+    stream = st.snapshot_required(st.tail(spark, str(path), after=5, files_per_batch=1), held)
+    assert {tuple(r) for r in drain(stream, tmp_path, "gaps2").collect()} <= {("a", 6, 7), ("a", 9, 10)}
+
+
+def test_a_stream_ends_once_and_only_when_it_is_whole(spark, tmp_path):
+    path, end = tmp_path / "in", '{"status":"failed"}'
+    for batch in ([event("a", 3, payload=end), event("b", 1, payload=end)], [event("a", 1)], [event("a", 2), event("b", 1, payload=end)], [event("a", 3, payload=end)]):
+        write_batches(spark, path, batch)
+    found = []
+    stream = st.finished_streams(st.tail(spark, str(path), files_per_batch=1))
+    drain(stream, tmp_path, "ends2", each=lambda batch, n: found.extend((n, r.stream_id, r.status) for r in batch.collect()))
+    assert sorted(r[1:] for r in found) == [("a", "failed"), ("b", "failed")]
+    assert dict((s, n) for n, s, _ in found)["a"] == 2
+
+
+def test_numbers_go_on_over_compaction_and_retries(spark, tmp_path):
+    raw = lambda s, i: (s, i, START + timedelta(hours=i))
+    schema = "stream_id string, event_id long, ts timestamp"
+    rng = random.Random(5)
+    write = st.sequence_writer(str(tmp_path / "out"), heads=3, compact=2)
+    sent, where = {}, []
+    for b in range(7):
+        batch = [raw(s, 100 * b + i) for s in rng.sample("abcdefg", 3) for i in range(rng.randint(1, 5))]
+        rng.shuffle(batch)
+        for attempt in range(2 if b in (3, 4) else 1):  # a batch may be run again
+            write(spark.createDataFrame(batch, schema), b)
+        for s, i, _ in sorted(batch):
+            sent.setdefault(s, []).append(i)
+        where.append({r.bucket for r in spark.read.parquet(str(tmp_path / f"out/heads/batch={b}")).select("bucket").distinct().collect()})
+    out = spark.read.parquet(str(tmp_path / "out/events"))
+    got = {}
+    for r in out.orderBy("stream_id", "seq").collect():
+        assert r.seq == len(got.setdefault(r.stream_id, [])) + 1
+        got[r.stream_id].append(r.event_id)
+    assert got == sent
+    kept = len(list((tmp_path / "out/heads").glob("batch=*/bucket=*")))
+    assert kept < sum(map(len, where))

@@ -34,6 +34,7 @@ def load():
         runs,
         shares,
         sources,
+        streams,
     )
 
     return QUERIES, ORACLES

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..model import TERMINAL_RUN
 from ..operators.running import running_totals
+from .ranges import finished_streams, snapshot_required  # noqa: F401
 
 EVENT = (
     "stream_id string, event_id long, seq long, ts timestamp, type string, graph_id string, "
@@ -26,44 +26,6 @@ def tail(spark, path, after=0, schema=EVENT, files_per_batch=None) -> DataFrame:
     return reader.parquet(path).where(F.col("seq") > after)
 
 
-# ---------------------------------------------------------------- gaps
-def _find_gaps(key, frames, state: GroupState):
-    last = state.get[0] if state.exists else 0
-    lost = []
-    for frame in frames:
-        for seq in frame["seq"].sort_values():
-            if seq > last + 1:
-                lost.append((key[0], int(last), int(seq) - 1))
-            last = max(last, int(seq))
-    state.update((last,))
-    yield pd.DataFrame(lost, columns=["stream_id", "after", "resume_at"])
-
-
-def snapshot_required(events: DataFrame) -> DataFrame:
-    """A row whenever a stream skips numbers: the reader must fetch a snapshot and resume there.
-
-    The state is one number per stream. Only the key and the number reach Python.
-    """
-    return (
-        events.select("stream_id", "seq")
-        .groupBy("stream_id")
-        .applyInPandasWithState(
-            _find_gaps,
-            "stream_id string, after long, resume_at long",
-            "last long",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
-
-
-def finished_streams(events: DataFrame, delay="1 day") -> DataFrame:
-    """Each stream once, when its terminal status arrives."""
-    status = F.get_json_object("payload", "$.status")
-    ends = events.where(status.isin(*TERMINAL_RUN)).select("stream_id", "seq", "ts", status.alias("status"))
-    return ends.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["stream_id"])
-
-
 # ---------------------------------------------------------------- folds
 def current_state(events: DataFrame) -> DataFrame:
     """Latest payload per graph entity, for update mode. The maximum combines in the map tasks, so
@@ -74,42 +36,85 @@ def current_state(events: DataFrame) -> DataFrame:
     )
 
 
-def live_counters(events: DataFrame) -> DataFrame:
-    """Latest progress, usage and frontier payload per run, for update mode."""
-    kept = events.where(F.col("type").isin("run.status", "budget.updated", "task.finished"))
+COUNTERS = ("run.status", "budget.updated", "task.finished")
+
+
+def live_counters(events: DataFrame, types=COUNTERS) -> DataFrame:
+    """Latest progress, usage and frontier payload per run, for update mode; all types if `types` is None."""
+    kept = events if types is None else events.where(F.col("type").isin(*types))
     return kept.groupBy("stream_id", "type").agg(
         F.max_by("payload", "seq").alias("payload"), F.max("seq").alias("seq")
     )
 
 
 # ---------------------------------------------------------------- sequence assignment
-def sequence_writer(path, stream="stream_id", at="ts", tie="event_id", bucket="hour"):
-    """A `foreachBatch` function that numbers each stream's events without gaps.
+HEADS = 64  # buckets of the head table
+COMPACT = 16  # a bucket is rewritten whole in one of so many batches
+
+
+def sequence_writer(path, stream="stream_id", at="ts", tie="event_id", bucket="hour", heads=HEADS, compact=COMPACT):
+    """A `foreachBatch` function that numbers each stream's events without gaps, in (`at`, `tie`) order
+    within a batch and after all numbers of the batches before.
 
-    Numbers continue from the head table of the previous batch and are assigned with bucketed
-    running totals, so a busy stream is spread over tasks. Output and heads are written per batch
-    id with overwrite, so a retried batch replaces its own files.
+    Numbers within a batch are bucketed running totals, so a busy stream is spread over tasks. The
+    heads are a changelog in `heads` buckets of streams: a batch reads the buckets of its streams and
+    writes the heads of its streams, nothing else. Heads only grow, so the largest entry is the valid
+    one. In one of `compact` batches a touched bucket is written whole, and what lies before its last
+    whole copy is deleted. A batch writes its own folders with overwrite and reads earlier ones only, so
+    it can be run again.
     """
 
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        batch = batch.persist()
+        slot = F.pmod(F.xxhash64(stream), F.lit(heads)).cast("int")
+        touched = sorted(r[0] for r in batch.select(slot).distinct().collect())
+        kind = batch.schema[stream].dataType.simpleString()
+        logs = _Folder(spark, f"{path}/heads")
+        found = [f"{path}/heads/batch={b}/bucket={k}" for b, k in logs.entries() if b < batch_id and k in set(touched)]
+        schema = f"`{stream}` {kind}, head long"
+        known = spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+        known = known.groupBy(stream).agg(F.max("head").alias("head"))
         ranked = running_totals(batch, [stream], [at, tie], F.date_trunc(bucket, F.col(at)), {"__n": F.lit(1)})
-        if batch_id == 0:
-            heads = ranked.select(stream).where("false").withColumn("head", F.lit(0).cast("long"))
-        else:
-            heads = spark.read.parquet(f"{path}/heads/batch={batch_id - 1}")
-        joined = ranked.join(heads, stream, "left")
-        numbered = joined.withColumn("seq", F.coalesce("head", F.lit(0)) + F.col("__n")).drop("head", "__n")
+        numbered = ranked.join(known, stream, "left")
+        numbered = numbered.withColumn("seq", F.coalesce("head", F.lit(0)) + F.col("__n")).drop("head", "__n")
         numbered.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
         written = spark.read.parquet(f"{path}/events/batch={batch_id}")
-        new = written.groupBy(stream).agg(F.max("seq").alias("head"))
-        heads.unionByName(new).groupBy(stream).agg(F.max("head").alias("head")).write.mode("overwrite").parquet(
-            f"{path}/heads/batch={batch_id}"
-        )
+        changed = written.groupBy(stream).agg(F.max("seq").alias("head"))
+        due = [k for k in touched if (batch_id + k) % compact == 0]
+        if due:
+            whole = known.where(slot.isin(*due)).select(stream, "head")
+            changed = changed.unionByName(whole).groupBy(stream).agg(F.max("head").alias("head"))
+        changed.select(stream, "head", slot.alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy(
+            "bucket").parquet(f"{path}/heads/batch={batch_id}")
+        for k in due:
+            own = sorted(b for b, other in logs.entries() if other == k and b < batch_id)
+            last = max((b for b in own if (b + k) % compact == 0), default=0)
+            for b in own:
+                if b < last:
+                    logs.delete(f"batch={b}/bucket={k}")
+        batch.unpersist()
 
     return write
 
 
+class _Folder:
+    """The folders batch=B/bucket=K below a path, on any file system Spark reaches."""
+
+    def __init__(self, spark, path):
+        jvm = spark.sparkContext._jvm
+        self.kind, self.path = jvm.org.apache.hadoop.fs.Path, path
+        self.files = self.kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def entries(self):
+        found = self.files.globStatus(self.kind(f"{self.path}/batch=*/bucket=*"))
+        names = [status.getPath() for status in found or []]
+        return [(int(p.getParent().getName()[6:]), int(p.getName()[7:])) for p in names]
+
+    def delete(self, name):
+        self.files.delete(self.kind(f"{self.path}/{name}"), True)
+
+
 # ---------------------------------------------------------------- idempotent requests
 def _judge(key, frames, state: GroupState):
     known = state.get[0] if state.exists else None
