@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls
 from ..session import materialize
-from .running import first_per_key, running_totals, top_per_key
+from .running import HOT_ROWS, first_per_key, spread_totals, top_per_key
 
 SHINGLE = 3
 
@@ -206,8 +206,7 @@ def seed_urls(sources: DataFrame, by, k=10) -> DataFrame:
     return top_per_key(first, list(by), ["pos"], k)
 
 
-def evidence_ids(evidence: DataFrame, by=("run_id",), block=10000) -> DataFrame:
+def evidence_ids(evidence: DataFrame, by=("run_id",), hot_rows=HOT_ROWS) -> DataFrame:
     """Ids such as E1, E2, S1: a counter per run and prefix in registration order (`pos`)."""
-    slot = F.floor(F.col("pos") / block)
-    counted = running_totals(evidence, [*by, "prefix"], ["pos"], slot, {"n": F.lit(1)})
+    counted = spread_totals(evidence, [*by, "prefix"], ["pos"], "pos", {"n": F.lit(1)}, hot_rows=hot_rows)
     return counted.withColumn("id", F.concat("prefix", F.col("n").cast("string"))).drop("n")

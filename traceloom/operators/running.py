@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def running_totals(df: DataFrame, keys, order, bucket: Column, totals) -> DataFrame:
     """Add, per key, running sums up to and including the current row.
@@ -39,6 +41,46 @@ def running_totals(df: DataFrame, keys, order, bucket: Column, totals) -> DataFr
     )
 
 
+HOT_ROWS = 1 << 20
+SLICES = 256
+
+
+def spread_totals(df: DataFrame, keys, order, lead, totals, descending=False, hot_rows=HOT_ROWS, slices=SLICES) -> DataFrame:
+    """`running_totals` whose buckets follow the rows: keys of more than `hot_rows` rows are cut at
+    quantiles of `lead`, so each slice has about as many rows however they bunch; the other keys are
+    one plain window and are shuffled once.
+
+    `lead` is a number or time that `order` begins with (`descending` tells its direction). Quantiles
+    come from a mergeable sketch in the map tasks; a boundary that is off by some rows moves no
+    result, only the size of a slice. Which keys are hot is a count per key. At most rows / `hot_rows`
+    keys are hot, and if there are none the quantiles are not looked for.
+    """
+    keys = list(keys)
+    value = F.col(lead)
+    kind = df.schema[lead].dataType.typeName()
+    value = F.unix_micros(value.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else value.cast("double")
+    hot = materialize(df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*keys))
+    if hot.isEmpty():
+        return _one_window(df, keys, order, totals)
+    named = [F.col(k).alias(f"__k_{k}") for k in keys]
+    cuts = [i / slices for i in range(1, slices)]
+    bounds = df.join(hot, keys, "left_semi").groupBy(*named).agg(
+        F.percentile_approx(value, cuts, 10 * slices).alias("__cuts"))
+    bounds = materialize(bounds)
+    same = [F.col(k) == F.col(f"__k_{k}") for k in keys]
+    rows = df.join(bounds, same).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < value)))
+    rows = rows.drop("__cuts", *[f"__k_{k}" for k in keys])
+    slot = -F.col("__slice") if descending else F.col("__slice")
+    spread = running_totals(rows, keys, order, slot, totals).drop("__slice")
+    rest = _one_window(df.join(hot, keys, "left_anti"), keys, order, totals)
+    return rest.unionByName(spread.select(*rest.columns))
+
+
+def _one_window(df, keys, order, totals):
+    window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.select("*", *[F.coalesce(F.sum(v.cast("long")).over(window), F.lit(0)).alias(n) for n, v in totals.items()])
+
+
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     """The first whole row per key: a combinable `min_by`, not a sort of the group."""
     keys = list(keys)

@@ -5,15 +5,13 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import values
-from .running import running_totals, top_per_key
+from .running import HOT_ROWS, spread_totals, top_per_key
 
 
 # ---------------------------------------------------------------- event log
-def with_sequence(events: DataFrame, stream="stream_id", at="ts", tie="event_id", bucket="hour") -> DataFrame:
-    """Gapless sequence number per stream, spread over time buckets."""
-    return running_totals(
-        events, [stream], [at, tie], F.date_trunc(bucket, F.col(at)), {"seq": F.lit(1)}
-    )
+def with_sequence(events: DataFrame, stream="stream_id", at="ts", tie="event_id", hot_rows=HOT_ROWS) -> DataFrame:
+    """Gapless sequence number per stream; a busy stream is spread over slices of equally many events."""
+    return spread_totals(events, [stream], [at, tie], at, {"seq": F.lit(1)}, hot_rows=hot_rows)
 
 
 def retained(events: DataFrame, keep=5000, stream="stream_id") -> DataFrame:
@@ -87,35 +85,46 @@ def unfinished_results(jobs: DataFrame, wanted: DataFrame, results: DataFrame) -
 
 
 # ---------------------------------------------------------------- budgets and runs of failures
-def budget_cut(charges: DataFrame, limit, amount="amount", stream="stream_id", at="ts", tie="event_id", bucket="hour") -> DataFrame:
+def budget_cut(charges: DataFrame, limits, amount="amount", stream="stream_id", at="ts", tie="event_id", hot_rows=HOT_ROWS) -> DataFrame:
     """Charges with the running use and whether they fit. Amounts are not negative, so the running
-    sum first exceeds the limit exactly at the charge that stops the run."""
-    rows = running_totals(charges, [stream], [at, tie], F.date_trunc(bucket, F.col(at)), {"used": F.col(amount)})
-    return rows.withColumn("fits", F.col("used") <= limit)
-
+    sum first exceeds a limit exactly at the charge that stops the run.
 
-def binding_limits(cut: DataFrame, stream="stream_id") -> DataFrame:
-    """Per stream: charges that fit, what they used, and whether the limit bound."""
+    `limits` is one limit of `amount`, or a dict of amount column to limit: then each has its own
+    used_COLUMN, and `over` names the limits that a charge exceeds.
+    """
+    if not isinstance(limits, dict):
+        rows = spread_totals(charges, [stream], [at, tie], at, {"used": F.col(amount)}, hot_rows=hot_rows)
+        return rows.withColumn("fits", F.col("used") <= limits)
+    rows = spread_totals(charges, [stream], [at, tie], at, {f"used_{c}": F.col(c) for c in limits}, hot_rows=hot_rows)
+    over = F.array(*[F.when(F.col(f"used_{c}") > limit, F.lit(c)) for c, limit in limits.items()])
+    return rows.withColumn("over", F.array_compact(over)).withColumn("fits", F.size("over") == 0)
+
+
+def binding_limits(cut: DataFrame, stream="stream_id", at="ts", tie="event_id") -> DataFrame:
+    """Per stream: charges that fit, what they used, and whether a limit bound; with several limits
+    also which ones stopped the run, at its first charge that does not fit."""
+    used = [c for c in cut.columns if c == "used" or c.startswith("used_")]
+    several = [F.min_by("over", F.when(~F.col("fits"), F.struct(at, tie))).alias("bound_by")] if "over" in cut.columns else []
     return cut.groupBy(stream).agg(
         F.count_if("fits").alias("fitted"),
-        F.coalesce(F.max(F.when(F.col("fits"), F.col("used"))), F.lit(0)).alias("used"),
+        *[F.coalesce(F.max(F.when(F.col("fits"), F.col(c))), F.lit(0)).alias(c) for c in used],
         F.bool_or(~F.col("fits")).alias("bound"),
+        *several,
     )
 
 
-def newest_within(rows: DataFrame, limit, size, by, at="ts", tie="event_id", bucket="hour") -> DataFrame:
+def newest_within(rows: DataFrame, limit, size, by, at="ts", tie="event_id", hot_rows=HOT_ROWS) -> DataFrame:
     """The newest rows of each key whose sizes sum to at most `limit`."""
     order = [F.col(at).desc(), F.col(tie).desc()]
-    newest_first = -F.unix_micros(F.date_trunc(bucket, F.col(at).cast("timestamp")))
-    summed = running_totals(rows, list(by), order, newest_first, {"size_so_far": size})
+    summed = spread_totals(rows, list(by), order, at, {"size_so_far": size}, descending=True, hot_rows=hot_rows)
     return summed.where(F.col("size_so_far") <= limit)
 
 
-def since_reset(events: DataFrame, counts, resets, stream="stream_id", at="ts", tie="event_id", bucket="hour") -> DataFrame:
+def since_reset(events: DataFrame, counts, resets, stream="stream_id", at="ts", tie="event_id", hot_rows=HOT_ROWS) -> DataFrame:
     """Add `streak`: counted rows since the last reset, other rows leaving it unchanged."""
-    rows = running_totals(
-        events, [stream], [at, tie], F.date_trunc(bucket, F.col(at)),
-        {"__island": F.when(resets, 1).otherwise(0), "__count": F.when(counts, 1).otherwise(0)},
+    rows = spread_totals(
+        events, [stream], [at, tie], at,
+        {"__island": F.when(resets, 1).otherwise(0), "__count": F.when(counts, 1).otherwise(0)}, hot_rows=hot_rows,
     )
     start = rows.where("__island > 0").groupBy(stream, "__island").agg(F.min("__count").alias("__base"))
     rows = rows.join(start, [stream, "__island"], "left")

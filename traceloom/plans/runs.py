@@ -100,6 +100,32 @@ def budget_cut(spark, sf):
     return rn.binding_limits(rn.budget_cut(events(spark, sf), 1500))
 
 
+@query(
+    "event_seq_one_hour",
+    """WITH e AS (SELECT user_id % 3 AS stream_id, event_id, epoch_us(ts::TIMESTAMP) % 3600000000 AS inside FROM events)
+SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY inside, event_id) AS seq FROM e""",
+)
+def event_seq_one_hour(spark, sf):
+    """A few streams whose events all lie in one hour: cut into slices of equally many events."""
+    inside = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(3_600_000_000))
+    rows = events(spark, sf).select((F.col("stream_id") % 3).alias("stream_id"), "event_id", F.timestamp_micros(inside).alias("ts"))
+    return rn.with_sequence(rows, hot_rows=1000).select("stream_id", "event_id", "seq")
+
+
+@query(
+    "budget_limits",
+    f"""WITH u AS (SELECT stream_id, ts, event_id, sum(amount) OVER w AS a, sum(floor(value)::BIGINT) OVER w AS v, count(*) OVER w AS n FROM ({duck(EVENTS)}) WINDOW w AS ({ORDER} ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT *, a <= 1500 AND v <= 2000 AND n <= 12 AS fits, array_to_string(list_filter([CASE WHEN a > 1500 THEN 'amount' END, CASE WHEN v > 2000 THEN 'spent' END, CASE WHEN n > 12 THEN 'calls' END], lambda x: x IS NOT NULL), ',') AS o FROM u)
+SELECT stream_id, count(*) FILTER (fits) AS fitted, CAST(coalesce(max(a) FILTER (fits), 0) AS BIGINT) AS used_amount, CAST(coalesce(max(v) FILTER (fits), 0) AS BIGINT) AS used_spent,
+ CAST(coalesce(max(n) FILTER (fits), 0) AS BIGINT) AS used_calls, bool_or(NOT fits) AS bound, arg_min(o, (ts, event_id)) FILTER (NOT fits) AS bound_by FROM f GROUP BY ALL""",
+)
+def budget_limits(spark, sf):
+    """Three limits at once, and which of them stopped a stream."""
+    rows = events(spark, sf).withColumn("spent", F.floor("value").cast("long")).withColumn("calls", F.lit(1))
+    out = rn.binding_limits(rn.budget_cut(rows, {"amount": 1500, "spent": 2000, "calls": 12}))
+    return out.withColumn("bound_by", F.array_join("bound_by", ","))
+
+
 @query(
     "context_budget",
     f"SELECT stream_id, event_id FROM ({duck(EVENTS)}) QUALIFY sum(length(props)) OVER (PARTITION BY stream_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) <= 300",
@@ -268,7 +294,7 @@ def query_dedup(spark, sf):
 )
 def evidence_ids(spark, sf):
     rows = frame(spark, sf, "SELECT user_id AS run_id, event_id AS pos, upper(substring(event_type, 1, 1)) AS prefix FROM {events}")
-    return dc.evidence_ids(rows, block=500).select("run_id", "pos", "id")
+    return dc.evidence_ids(rows, hot_rows=500).select("run_id", "pos", "id")
 
 
 @query(
