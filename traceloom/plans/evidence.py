@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
+from ..operators import reviews as rw
+from ..session import materialize
 from .catalog import query
-from .lens import duck, frame, lens
+from .lens import LENS, duck, frame, lens
 
 EDGE = ["subject_id", "object_id"]
 BRAND_EDGE = ["subject_id", "brand"]
@@ -112,12 +114,15 @@ FROM g"""
 
 @query("edge_confidence", SCORE_SQL)
 def edge_confidence(spark, sf):
-    rows = (
+    return ev.score_edges(scored_rows(spark, sf), EDGE)
+
+
+def scored_rows(spark, sf):
+    return (
         lens(spark, sf, "lineage")
         .withColumn("extracted_at", F.lit(None).cast("timestamp_ntz"))
         .withColumn("retrieved_at", F.lit(None).cast("timestamp_ntz"))
     )
-    return ev.score_edges(rows, EDGE)
 
 
 @query(
@@ -172,6 +177,69 @@ def claim_review(spark, sf):
     return ev.relabel_reviewed_edges(claims, reviewed, EDGE)
 
 
+# a graph per supplier; a few sources' claims are reviewed, some of them twice
+SCORE_REVIEWS = f"""SELECT concat(c.claim_id, '-', CAST(k.n AS STRING)) AS review_id, c.claim_id, CASE (c.source_id + k.n) % 3 WHEN 0 THEN 'dispute' WHEN 1 THEN 'reject' ELSE 'accept' END AS verdict,
+ 'seen' AS note, CAST(c.source_id * 2 + k.n AS BIGINT) AS created_at FROM (SELECT DISTINCT claim_id, source_id FROM ({LENS["claim"]}) x WHERE source_id % 50 = 7) c CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k
+ WHERE k.n = 0 OR c.source_id % 100 = 7"""
+LATEST_SQL = f"(SELECT claim_id, arg_max(verdict, created_at) AS verdict, count(*) AS n FROM ({duck(SCORE_REVIEWS)}) GROUP BY ALL)"
+VERDICT_SQL = "CASE v.verdict WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'dispute' THEN 'disputed' ELSE x.status END"
+
+
+def reviewed_sql(body):
+    """The score of every edge before and after the reviews, both from scratch."""
+    before = SCORE_SQL.replace("WITH RECURSIVE ", "", 1)
+    rows = f"SELECT x.* EXCLUDE (status), {VERDICT_SQL} AS status FROM ({duck('lineage')}) x LEFT JOIN {LATEST_SQL} v ON x.claim_id = v.claim_id"
+    after = before.replace(f"rows_ AS ({duck('lineage')})", f"rows_ AS ({rows})", 1)
+    return f"WITH b AS (WITH RECURSIVE {before}), a AS (WITH RECURSIVE {after}), t AS (SELECT DISTINCT x.subject_id, x.object_id FROM ({duck('lineage')}) x JOIN {LATEST_SQL} v ON x.claim_id = v.claim_id WHERE x.status <> {VERDICT_SQL}) {body}"
+
+
+def reviewed(spark, sf):
+    rows = scored_rows(spark, sf).withColumn("graph_id", F.col("subject_id"))
+    scores = materialize(ev.score_edges(rows, EDGE))
+    graphs = rows.select("graph_id").distinct().withColumn("revision", F.lit(3))
+    return rw.review(rows, scores, frame(spark, sf, SCORE_REVIEWS), graphs, EDGE, hot_rows=500)
+
+
+@query("review_scores", reviewed_sql("SELECT a.* FROM a"))
+def review_scores(spark, sf):
+    """The whole score view after the reviews, touched edges rescored only."""
+    return reviewed(spark, sf).scores
+
+
+@query("review_changes", reviewed_sql("""SELECT subject_id, object_id, b.support_label AS label_before, a.support_label AS label_after, b.confidence AS confidence_before,
+ a.confidence AS confidence_after FROM t JOIN a USING (subject_id, object_id) JOIN b USING (subject_id, object_id)"""))
+def review_changes(spark, sf):
+    """Touched edges with label and score before and after."""
+    return reviewed(spark, sf).changes
+
+
+@query("review_label_counts", reviewed_sql("""SELECT graph_id, support_label, CAST(sum(n) AS BIGINT) AS change FROM (SELECT subject_id AS graph_id, support_label, 1 AS n FROM a
+ UNION ALL SELECT subject_id, support_label, -1 FROM b) GROUP BY ALL HAVING sum(n) <> 0"""))
+def review_label_counts(spark, sf):
+    """Change of each graph's edge counts per label."""
+    return reviewed(spark, sf).labels
+
+
+@query(
+    "review_revisions",
+    f"""SELECT subject_id AS graph_id, review_id, r.claim_id, verdict, 2 + row_number() OVER w AS revision_before, 3 + row_number() OVER w AS revision_after
+FROM (SELECT DISTINCT claim_id, subject_id FROM ({duck("claim")})) c JOIN ({duck(SCORE_REVIEWS)}) r ON c.claim_id = r.claim_id WINDOW w AS (PARTITION BY subject_id ORDER BY created_at, review_id)""",
+)
+def review_revisions(spark, sf):
+    """One revision per graph and review."""
+    return reviewed(spark, sf).revisions
+
+
+@query(
+    "review_notes",
+    f"""SELECT r.claim_id, any_value(c.status) AS status_before, CASE arg_max(verdict, created_at) WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'disputed' END AS status,
+ string_agg(created_at || ' user ' || verdict || ': seen', ';' ORDER BY created_at) AS notes FROM ({duck(SCORE_REVIEWS)}) r JOIN (SELECT DISTINCT claim_id, status FROM ({duck("claim")})) c ON c.claim_id = r.claim_id GROUP BY ALL""",
+)
+def review_notes(spark, sf):
+    """Reviewed claims with their status and notes."""
+    return reviewed(spark, sf).claims.withColumn("notes", F.array_join("notes", ";"))
+
+
 @query(
     "contradictions",
     f"""WITH c AS ({duck("claim")}), k AS (SELECT subject_id, object_id, scope_type,
