@@ -1,5 +1,8 @@
 """Helpers the corpus operators share."""
 
+from itertools import islice
+
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,3 +70,17 @@ def word_cache(owner):
         _cache.clear()
         _cache[owner] = {}
     return _cache[owner]
+
+
+def give_back(batches, keep=50_000):
+    """The batches of a partition; after the last one the worker keeps few cached words and no free buffers.
+
+    Frequent words are met first, so the first ones are kept for the next partition.
+    """
+    try:
+        yield from batches
+    finally:
+        for owner, words in _cache.items():
+            if len(words) > keep:
+                _cache[owner] = dict(islice(words.items(), keep))
+        pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, text_groups, word_cache
+from .common import give_back, materialize, numbered, text_groups, word_cache
 
 BUCKETS = 1 << 14  # words are hashed to so many vectors: 16,384 x 48, whatever the corpus
 DIMS = 48
@@ -75,7 +75,7 @@ def tokenised(docs: DataFrame, text="text", keep=True):
     schema = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in kept) + ", units binary"
 
     def units(batches):
-        for batch in batches:
+        for batch in give_back(batches):
             for part in text_groups(batch, at):
                 found = word_units([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +112,7 @@ def _context_sums(batches):
                 for j in range(NONZERO):
                     sums[:] += np.bincount(word * DIMS + places[near, j], signs[near, j], BUCKETS * DIMS)
 
-    for batch in batches:
+    for batch in give_back(batches):
         for units in _streams(batch.column(0)):
             held += [units, np.full(WINDOW, GAP, "<u2")]
             n += len(units)
@@ -205,7 +205,7 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _parts(units, size=500_000):
+def _parts(units, size=60_000):
     """Slices of a list of streams that hold about so many units, a longer stream by itself."""
     at, held = 0, 0
     for i, own in enumerate(units):
@@ -258,7 +258,7 @@ def _scored(tokens, model):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema if f.name != "units")
 
     def score(batches):
-        for batch in batches:
+        for batch in give_back(batches):
             units = _streams(batch.column(at))
             scores = np.full(len(units), model["rate"])
             if model["net"] is not None:
