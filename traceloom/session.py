@@ -103,3 +103,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame):
+    """Delete the files of tables that `materialize` wrote, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        kind, conf = context._jvm.org.apache.hadoop.fs.Path, context._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            kind(folder).getFileSystem(conf).delete(kind(folder), True)
