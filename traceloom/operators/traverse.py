@@ -63,19 +63,22 @@ def tier_view(nodes: DataFrame, edges: DataFrame, tier_max: int):
     return kept, inside
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node count, edge count, largest tier and edges per support label, one row per label."""
-    count = nodes.agg(F.count("*").alias("node_count"), F.coalesce(F.max("tier"), F.lit(0)).alias("max_tier"))
-    labels = edges.groupBy("support_label").agg(F.count("*").alias("edges"))
-    total = labels.agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("edge_count"))
-    # one aggregate row on each side, joined on a constant
-    one = F.lit(1).alias("__k")
-    return (
-        labels.select("*", one)
-        .join(count.select("*", one), "__k")
-        .join(total.select("*", one), "__k")
-        .drop("__k")
-    )
+def graph_stats(nodes: DataFrame, edges: DataFrame, by=()) -> DataFrame:
+    """Node count, edge count, largest tier and edges per support label, one row per label and graph.
+
+    `by` are the columns that tell graphs apart. A graph without edges is one row with no label and
+    0 edges; edges of a graph without nodes count too.
+    """
+    by = list(by)
+    keys = by or ["__k"]
+    one = [] if by else [F.lit(1).alias("__k")]
+    count = nodes.select("*", *one).groupBy(*keys).agg(
+        F.count("*").alias("node_count"), F.coalesce(F.max("tier"), F.lit(0)).alias("max_tier"))
+    labels = edges.select("*", *one).groupBy(*keys, "support_label").agg(F.count("*").alias("edges"))
+    total = labels.groupBy(*keys).agg(F.sum("edges").alias("edge_count"))
+    rows = count.join(total, keys, "full").join(labels, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(*by, "support_label", zero("edges"), zero("node_count"), zero("max_tier"), zero("edge_count"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sums
 from ..operators import traverse as tr
 from .catalog import query
-from .lens import LENS, duck, frame, lens  # noqa: F401
+from .lens import LENS, duck, frame, lens, table
 
 ROOT = "pr:root"
 
@@ -240,3 +241,30 @@ def node_search(spark, sf):
     )
     found = tr.node_search(nodes, lens(spark, sf, "edge"), "mp12", "component", ROOT)
     return found.select("id", "kind", "label", "hit")
+
+
+STAT_NODES = "SELECT p_brand AS graph_id, p_partkey AS id, CAST(p_size % 6 AS INT) AS tier FROM {part}"
+STAT_EDGES = "SELECT p_brand AS graph_id, CASE p_size % 3 WHEN 0 THEN 'directly_supported' WHEN 1 THEN 'user_asserted' ELSE 'unresolved' END AS support_label FROM {part} WHERE p_brand NOT IN ('Brand#5', 'Brand#11')"
+
+
+@query(
+    "graph_stats_by_graph",
+    f"""WITH n AS (SELECT graph_id, count(*) AS node_count, max(tier) AS max_tier FROM ({duck(STAT_NODES)}) GROUP BY ALL), e AS (SELECT graph_id, support_label, count(*) AS edges FROM ({duck(STAT_EDGES)}) GROUP BY ALL)
+SELECT n.graph_id, support_label, coalesce(edges, 0) AS edges, node_count, max_tier, CAST(coalesce(sum(edges) OVER (PARTITION BY n.graph_id), 0) AS BIGINT) AS edge_count FROM n LEFT JOIN e ON n.graph_id = e.graph_id""",
+)
+def graph_stats_by_graph(spark, sf):
+    """Statistics of every graph at once; two of them have no edges."""
+    return tr.graph_stats(frame(spark, sf, STAT_NODES), frame(spark, sf, STAT_EDGES), ["graph_id"])
+
+
+@query(
+    "exact_totals",
+    """SELECT l_suppkey, CAST(sum(round(l_discount * 100)::BIGINT * (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END)) AS DOUBLE) / 64 AS discounts, count(*) AS lines FROM lineitem GROUP BY ALL""",
+)
+def exact_totals(spark, sf):
+    """Exact sums of numbers of very different size that cancel: every line adds and takes 1e17."""
+    rows = table(spark, sf, "lineitem").withColumn("sign", F.when(F.col("l_linenumber") % 2 == 0, 1.0).otherwise(-1.0))
+    small = F.round(F.col("l_discount") * 100) * F.col("sign") / 64
+    terms = rows.select("l_suppkey", F.explode(F.array(small, F.lit(1e17), F.lit(-1e17))).alias("x"))
+    sums = exact_sums(terms, ["l_suppkey"], "x", "discounts")
+    return sums.join(rows.groupBy("l_suppkey").agg(F.count("*").alias("lines")), "l_suppkey")
