@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import materialize, release
 
-ROUNDS = 2
+ROUNDS = 6  # most rounds of pivots
 
 
 def _labelled(members, labels):
@@ -50,18 +50,19 @@ def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS, close=None,
     is a condition on two sigs and two marks that every link meets too. `verify` takes (a, b) pairs and
     returns those that are links.
 
-    In a few rounds each bucket that holds several groups tries its members against one of them, its
-    pivot, another one in each round: as many pairs as members. A bucket of near copies becomes one
-    group that way. Then every pair that could still join two groups is tried: the members outside a
+    In rounds, while they find links, each bucket that holds several groups tries its members against
+    one of them, its pivot, another one in each round: as many pairs as members. A bucket of near copies
+    becomes one group that way. Then every pair that could still join two groups is tried: the members outside a
     bucket's most common group against all of its members of other groups. Pairs inside one group are
     never formed, and none that could matter is left out.
     """
     members, links, labels = materialize(buckets), None, None
     near = close or (lambda a, b: F.lit(True))
     sig = F.col("sig") if "sig" in members.columns else F.lit(0).alias("sig")
-    for turn in range(rounds + 1):
+    turn, pivoting = 0, rounds > 0
+    while True:
         rows = materialize(_open(_labelled(members, labels)))
-        if turn < rounds:
+        if pivoting:
             mark = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn))
             pivot = rows.groupBy("bucket").agg(
                 F.min_by(F.struct("id", "label", sig), F.struct(mark, F.col("id"))).alias("pivot"))
@@ -79,14 +80,19 @@ def linked_groups(buckets: DataFrame, verify, rounds=ROUNDS, close=None,
             pairs = _pairs(tried, F.col("id"), F.col("few"))
         found = materialize(verify(pairs))
         release(rows)
-        if found.isEmpty() and (turn != rounds - 1 or links is None):
-            if turn == 0 and members.isEmpty():
-                break
-            continue
-        links = found if links is None else links.unionByName(found)
-        if turn < rounds - 1:
+        none = found.isEmpty()
+        if none and turn == 0 and members.isEmpty():
+            break
+        if not none:
+            links = found if links is None else links.unionByName(found)
+        if not pivoting:
+            labels = labels if none else connected_components(links, "a", "b")
+            break
+        turn += 1
+        pivoting = not none and turn < rounds
+        if pivoting:
             labels = _hooked(labels, found)
-        else:
+        elif links is not None:
             labels = connected_components(links, "a", "b")
     if labels is None:
         kind = members.schema["id"].dataType.simpleString()
