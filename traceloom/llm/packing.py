@@ -87,7 +87,7 @@ def _pieces(path, capacity):
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def cut(batches):
-        for part in (g for batch in give_back(batches) for g in text_groups(batch, 1)):
+        for part in (g for batch in give_back(batches, 400_000) for g in text_groups(batch, 1)):
             out = [[], [], [], [], []]
             texts = [t or "" for t in part.column(1).to_pylist()]
             for doc, coded in zip(part.column(0).to_pylist(), encode_texts(texts, path)):
