@@ -186,18 +186,15 @@ def brand_ops(spark, sf, build):
 def op_struct(step, name, **fields):
     """One op of `OP_SCHEMA` at ten times the key plus `step`; values are SQL expressions."""
     columns = {"seq": f"k * 10 + {step}", "op": f"'{name}'", **fields}
-    parts = []
-    for field in OP_SCHEMA.split(", "):
-        column, kind = field.split(" ", 1)
-        parts.append(F.expr(f"CAST({columns.get(column, 'NULL')} AS {kind})").alias(column))
-    return F.struct(*parts)
+    kinds = [field.split(" ", 1) for field in OP_SCHEMA.split(", ")]
+    return "named_struct(" + ", ".join(f"'{c}', CAST({columns.get(c, 'NULL')} AS {kind})" for c, kind in kinds) + ")"
 
 
 def case_by(modulus, cases):
     none = F.expr("CAST(array() AS array<struct<" + ",".join(f.replace(" ", ":", 1) for f in OP_SCHEMA.split(", ")) + ">>)")
     chosen = F.when(F.lit(False), none)
     for rest, steps in cases.items():
-        chosen = chosen.when(F.col("k") % modulus == rest, F.array(*steps))
+        chosen = chosen.when(F.col("k") % modulus == rest, F.expr(f"array({', '.join(steps)})"))
     return chosen.otherwise(none)
 
 
