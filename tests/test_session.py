@@ -2,7 +2,7 @@
 
 import pytest
 
-from traceloom.session import materialize, shared_folder, spread
+from traceloom.session import materialize, shared_folder, spread, tune
 
 
 def test_intermediate_tables_use_the_shared_folder(spark):
@@ -31,3 +31,10 @@ def test_spread_leaves_wide_tables_alone(spark):
     wide = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism + 3)
     assert spread(wide) is wide
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_well_compressed_table_is_not_broadcast(spark):
+    rows = spark.range(400_000).selectExpr("id", "repeat('a long label ', 20) as label")
+    out = materialize(rows).join(tune(spark).range(2_000_000), "id").groupBy("label").count()
+    assert [r["count"] for r in out.collect()] == [400_000]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a scan is judged by its Parquet files, which are up to 25 times smaller than their rows in memory; the
+    # driver builds every broadcast, a dozen at once. AQE judges the same side again by the bytes of its rows
+    "spark.sql.autoBroadcastJoinThreshold": "512KB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # keyed streaming state on disk; a batch writes its changes only and snapshots are made behind it
     "spark.sql.streaming.stateStore.providerClass":
