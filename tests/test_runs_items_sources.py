@@ -274,3 +274,20 @@ def test_remaining_helpers(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "x", "p")], "run_id string, v string, _private string")
     sinks.write_bundle(str(tmp_path / "b"), {"nodes": rows}, rows, rows, rows, runs)
     assert spark.read.json(str(tmp_path / "b/bom")).columns == ["v", "run_id"]
+
+
+def test_citations_are_looked_up_once_per_list_and_keep_repeats(spark):
+    raw = spark.createDataFrame(
+        [(1, 1, "Bolt", "component", None, ["E1", "E1", "X"]), (1, 2, "bolt", "component", None, ["E1", "E1", "X"]), (1, 3, "Nut", "component", "Bolt", None),
+         (2, 1, "Nut", "component", None, []), (None, 1, "Nut", "component", None, ["E1"])],
+        "request_id int, ordinal int, name string, category string, parent_name string, evidence_ids array<string>",
+    ).selectExpr("*", *[f"cast(null as string) as {c}" for c in it.FIELDS], "true as general_knowledge", "'high' as confidence")
+    registry = spark.createDataFrame([(1, "E1", "web_page", "w1"), (1, "E1", "search_snippet", "s1")], "request_id int, evidence_id string, ref_type string, ref string")
+    items, sources, unknown = it.project_items(raw, registry)
+    found = {(r.request_id, r.name_key): (r.basis, r.confidence, r.parent_key) for r in items.collect()}
+    assert found[1, "bolt"] == ("evidenced", "high", None) and found[1, "nut"] == ("guessed", "medium", "bolt") and found[2, "nut"] == ("guessed", "medium", None)
+    assert {(r.request_id, r.name_key, r.ref_type, r.ref, r.ordinal) for r in sources.where("ref_type <> 'model_knowledge'").collect()} == {
+        (1, "bolt", "web_page", "w1", 1), (1, "bolt", "search_snippet", "s1", 1)}
+    assert sorted(tuple(r) for r in unknown.collect() if r.request_id == 1) == [(1, "X", 1), (1, "X", 2)]
+    joins = sources._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in joins  # read from the rows written once, where every table repeated the look-up before

@@ -34,15 +34,24 @@ def project_items(raw: DataFrame, registry: DataFrame, max_items=None, key=nativ
     sources stay rows of their own table, since nothing bounds how many there are.
     """
     rows = raw.withColumn("name_key", key(F.col("name")))
-    rows = materialize(rows.join(_kept_names(rows, max_items), ["request_id", "name_key"]).drop("first"))
-    cited = rows.select("request_id", "name_key", "ordinal", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
-    cited = cited.join(registry, ["request_id", "evidence_id"], "left")
-    unknown = cited.where("ref_type is null").select("request_id", "evidence_id", "ordinal")
-    refs = cited.where("ref_type is not null")
-    support = refs.groupBy("request_id", "ordinal").agg(
-        F.bool_or(F.col("ref_type") == "web_page").alias("web"), F.count("*").alias("refs")
+    rows = rows.where("request_id is not null and name_key is not null")
+    if max_items is not None:
+        rows = rows.join(_kept_names(rows, max_items), ["request_id", "name_key"]).drop("first")
+    # rows that cite alike are looked up once, by what they cite: ordinals do not travel with each citation
+    cited = rows.select("request_id", "evidence_ids").distinct()
+    cited = cited.select("request_id", "evidence_ids", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    cited = cited.join(registry.select("request_id", "evidence_id", "ref_type", "ref"), ["request_id", "evidence_id"], "left")
+    known = F.col("ref_type").isNotNull()
+    cited = cited.groupBy("request_id", "evidence_ids").agg(
+        F.bool_or(F.when(known, F.col("ref_type") == "web_page")).alias("web"),
+        F.count_if(known).alias("refs"),
+        F.collect_list(F.when(known, F.struct("ref_type", "ref"))).alias("found"),
+        F.collect_list(F.when(~known, F.struct("evidence_id"))).alias("lost"),
     )
-    rows = rows.join(support, ["request_id", "ordinal"], "left")
+    rows = materialize(rows.join(cited, ["request_id", "evidence_ids"], "left"))
+    unknown = rows.select("request_id", F.explode("lost").alias("l"), "ordinal").select("request_id", "l.evidence_id", "ordinal")
+    refs = rows.select("request_id", "name_key", F.explode("found").alias("f"), "ordinal").select(
+        "request_id", "name_key", "f.ref_type", "f.ref", "ordinal")
     basis = F.when(F.col("web"), "evidenced").when(F.col("refs") > 0, "inferred").otherwise("guessed")
     rows = rows.withColumn("basis", basis)
     rows = rows.withColumn(
