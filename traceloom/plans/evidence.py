@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import reviews as rw
-from ..session import materialize
 from .catalog import query
 from .lens import LENS, duck, frame, lens
 
@@ -195,9 +194,8 @@ def reviewed_sql(body):
 
 def reviewed(spark, sf):
     rows = scored_rows(spark, sf).withColumn("graph_id", F.col("subject_id"))
-    scores = materialize(ev.score_edges(rows, EDGE))
     graphs = rows.select("graph_id").distinct().withColumn("revision", F.lit(3))
-    return rw.review(rows, scores, frame(spark, sf, SCORE_REVIEWS), graphs, EDGE, hot_rows=500)
+    return rw.review(rows, None, frame(spark, sf, SCORE_REVIEWS), graphs, EDGE, hot_rows=500)
 
 
 @query("review_scores", reviewed_sql("SELECT a.* FROM a"))
