@@ -11,17 +11,17 @@ from .. import model
 from ..session import materialize
 
 
-def levels(edges: DataFrame, roots: DataFrame, max_level=None, by=(), carry=()) -> DataFrame:
+def levels(edges: DataFrame, roots: DataFrame, max_level=None, by=(), carry=(), stored=False) -> DataFrame:
     """Shortest number of hops from the roots, walking each edge from target to source.
 
     `roots` has `id` and the `by` columns (such as graph_id); `carry` columns of the roots travel
-    with the walk, the smallest value winning when parents at the same level differ.
+    with the walk, the smallest value winning when parents at the same level differ. Edges are written
+    for the walk unless they are `stored`, a table read as it is.
     """
     by, carry = list(by), list(carry)
-    links = materialize(
-        edges.select(*by, F.col("target_node_id").alias("id"), F.col("source_node_id").alias("child"))
-        .where("id is not null and child is not null")
-    )
+    links = edges.select(*by, F.col("target_node_id").alias("id"), F.col("source_node_id").alias("child"))
+    links = links.where("id is not null and child is not null")
+    links = links if stored else materialize(links)
     frontier = materialize(roots.select(*by, "id", *carry).distinct())
     seen = frontier.withColumn("tier", F.lit(0))
     level = 0
@@ -44,9 +44,9 @@ def dependency_edges(edges):
     return edges.where(F.col("predicate").isin(*model.DEPENDENCY_PREDICATES))
 
 
-def tiers(nodes: DataFrame, edges: DataFrame, roots: DataFrame, by=()) -> DataFrame:
+def tiers(nodes: DataFrame, edges: DataFrame, roots: DataFrame, by=(), stored=False) -> DataFrame:
     """Every node with its tier from the root product; NULL when no dependency path reaches it."""
-    found = levels(dependency_edges(edges), roots, by=by)
+    found = levels(dependency_edges(edges), roots, by=by, stored=stored)
     return nodes.join(found, list(by) + ["id"], "left")
 
 
@@ -94,13 +94,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """Distinct 1-hop neighbours of every node, either direction."""
+def _ends(edges):
+    """(id, neighbour_id) of every edge, either direction."""
     ends = F.array(
         F.struct(F.col("source_node_id").alias("id"), F.col("target_node_id").alias("neighbour_id")),
         F.struct(F.col("target_node_id").alias("id"), F.col("source_node_id").alias("neighbour_id")),
     )
-    return edges.select(F.explode(ends).alias("e")).select("e.*").distinct()
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """Distinct 1-hop neighbours of every node, either direction."""
+    return _ends(edges).distinct()
 
 
 def node_detail(nodes, edges, claims) -> DataFrame:
@@ -122,7 +127,7 @@ def research_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Scheduling depth: a part's tier; for a maker or site one more than its nearest tiered
     neighbour; none for places. `nearest_id` is that neighbour."""
     tiered = nodes.where("tier is not null").select(F.col("id").alias("neighbour_id"), F.col("tier").alias("__t"))
-    around = neighbours(edges).where("id <> neighbour_id").join(tiered, "neighbour_id")
+    around = _ends(edges).where("id <> neighbour_id").join(tiered, "neighbour_id")  # a least neighbour needs no distinct ones
     near = around.groupBy("id").agg(F.min(F.struct("__t", "neighbour_id")).alias("n"))
     part = F.col("kind").isin("product", "component", "material")
     return nodes.join(near, "id", "left").select(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import exact_sums
 from ..operators import traverse as tr
+from ..session import materialize
 from .catalog import query
 from .lens import LENS, duck, frame, lens, table
 
@@ -55,6 +56,12 @@ def tiered_nodes(spark, sf):
     return tr.tiers(lens(spark, sf, "node"), lens(spark, sf, "edge"), root(spark, sf))
 
 
+def tiered_graph(spark, sf):
+    """Nodes with tiers and the edges, which are folded and written once for the walk and what follows it."""
+    edges = materialize(lens(spark, sf, "edge"))
+    return tr.tiers(lens(spark, sf, "node"), edges, root(spark, sf), stored=True), edges
+
+
 @query("tiers", f"WITH RECURSIVE {TIERS_SQL} SELECT id, kind, tier FROM nt")
 def tiers(spark, sf):
     return tiered_nodes(spark, sf).select("id", "kind", "tier")
@@ -66,7 +73,7 @@ def tiers(spark, sf):
  (SELECT max(tier) FROM nt) AS max_tier, (SELECT count(*) FROM ed) AS edge_count FROM ed GROUP BY ALL""",
 )
 def graph_stats(spark, sf):
-    return tr.graph_stats(tiered_nodes(spark, sf), lens(spark, sf, "edge"))
+    return tr.graph_stats(*tiered_graph(spark, sf))
 
 
 @query(
@@ -77,7 +84,7 @@ SELECT support_label, count(*) AS edges, (SELECT count(*) FROM k) AS node_count,
  (SELECT count(*) FROM ke) AS edge_count FROM ke GROUP BY ALL""",
 )
 def graph_view_tier_max(spark, sf):
-    nodes, edges = tr.tier_view(tiered_nodes(spark, sf), lens(spark, sf, "edge"), 3)
+    nodes, edges = tr.tier_view(*tiered_graph(spark, sf), 3)
     return tr.graph_stats(nodes, edges)
 
 
@@ -145,9 +152,7 @@ SELECT nt.id, kind, CASE WHEN kind IN ('product', 'component', 'material') THEN
 FROM nt LEFT JOIN near USING (id)""",
 )
 def research_depth(spark, sf):
-    return tr.research_depth(tiered_nodes(spark, sf), lens(spark, sf, "edge")).select(
-        "id", "kind", "depth"
-    )
+    return tr.research_depth(*tiered_graph(spark, sf)).select("id", "kind", "depth")
 
 
 @query(
