@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import runs as rn
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import events as st
 from ..streaming import ranges as rg
 from .catalog import query
@@ -13,23 +13,36 @@ FILES = 3
 
 
 def replayed(spark, sf, rows, columns):
-    """A stream over `rows` written as files by event_id, so that numbers of a stream come out of order."""
+    """(stream, deliver): a stream over `rows` and what brings it the next part of them.
+
+    Parts go by event_id, so that numbers of a stream come out of order. The rows are computed once, and a
+    part is written by all tasks: a batch is what was delivered, not a file.
+    """
     path = scratch_path(spark, "replay")
-    for part in range(FILES):
-        rows.where(F.col("event_id") % FILES == part).select(*columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    kept = rows.select(*columns, (F.col("event_id") % FILES).alias("__part"))
+    schema = kept.drop("__part").schema
+    kept = materialize(kept)
+    kept.where("false").drop("__part").write.parquet(path)
+
+    def deliver(part):
+        kept.where(F.col("__part") == part).drop("__part").write.mode("append").parquet(path)
 
+    return spark.readStream.schema(schema).parquet(path), deliver
 
-def drained(df, mode, write=None):
-    """Run a stream to its end; what each batch gave is a table with the number of the batch."""
+
+def drained(df, mode, deliver, write=None):
+    """Run a stream to its end, a batch per delivery; what each batch gave is a table with its number."""
     spark = df.sparkSession
     path, state = scratch_path(spark, "drained"), scratch_path(spark, "checkpoint")
 
     def keep(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/part-{batch_id}")
 
-    run = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    run.foreachBatch(write(path) if write else keep).start().awaitTermination()
+    each = write(path) if write else keep
+    for part in range(FILES):
+        deliver(part)
+        run = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        run.foreachBatch(each).start().awaitTermination()
     return path if write else spark.read.schema(f"{df._jdf.schema().toDDL()}, batch int").parquet(f"{path}/part-*")
 
 
@@ -54,7 +67,8 @@ def stream_gaps(spark, sf):
     rows = numbered(spark, sf).where("event_type <> 'signup'")
     cursors = events(spark, sf).select("stream_id", (F.col("stream_id") % 90).alias("after")).distinct()
     cursors = cursors.union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(4).cast("long")))
-    got = drained(rg.stream_progress(replayed(spark, sf, rows, ["stream_id", "seq"]), cursors), "update")
+    stream, deliver = replayed(spark, sf, rows, ["stream_id", "seq"])
+    got = drained(rg.stream_progress(stream, cursors), "update", deliver)
     last = got.groupBy("stream_id").agg(F.max_by(F.struct("head", "gaps"), "batch").alias("p"))
     gaps = last.select("stream_id", F.explode("p.gaps").alias("g")).select("stream_id", "g.after", "g.resume_at", F.lit(False).alias("beyond"))
     heads = range_heads(rows)
@@ -88,7 +102,8 @@ def stream_gaps_of_table(spark, sf):
 def stream_tail(spark, sf):
     """Events after a cursor, as a stream."""
     columns = ["stream_id", "event_id", "seq"]
-    return drained(replayed(spark, sf, numbered(spark, sf), columns).where("seq > 5"), "append").drop("batch")
+    stream, deliver = replayed(spark, sf, numbered(spark, sf), columns)
+    return drained(stream.where("seq > 5"), "append", deliver).drop("batch")
 
 
 @query(
@@ -100,13 +115,13 @@ SELECT DISTINCT stream_id, 'failed' AS status FROM p WHERE ended AND seen = head
 def stream_terminal(spark, sf):
     """Streams that ended and have all their numbers, each once, whenever that came to be."""
     rows = numbered(spark, sf).where("not (event_type = 'signup' and stream_id % 3 = 0)")
-    got = rg.finished_streams(replayed(spark, sf, rows, ["stream_id", "seq", "payload"]))
-    return drained(got, "append").select("stream_id", "status")
+    stream, deliver = replayed(spark, sf, rows, ["stream_id", "seq", "payload"])
+    return drained(rg.finished_streams(stream), "append", deliver).select("stream_id", "status")
 
 
 @query("stream_seq", f"SELECT stream_id, event_id, row_number() OVER ({ORDER.replace('ORDER BY', f'ORDER BY event_id % {FILES},')}) AS seq FROM ({SEQ_SQL})")
 def stream_seq(spark, sf):
     """Numbers that a stream gives to events as their files come."""
-    stream = replayed(spark, sf, events(spark, sf), ["stream_id", "event_id", "ts"])
-    path = drained(stream, "append", lambda path: st.sequence_writer(path, heads=8, compact=2))
+    stream, deliver = replayed(spark, sf, events(spark, sf), ["stream_id", "event_id", "ts"])
+    path = drained(stream, "append", deliver, lambda path: st.sequence_writer(path, heads=8, compact=2))
     return spark.read.parquet(f"{path}/events/batch=*").select("stream_id", "event_id", "seq")

@@ -69,7 +69,7 @@ class _Seen(StatefulProcessor):
         self.state.update(([0], [after], None, False))
 
     def handleInputRows(self, key, rows, timerValues):
-        firsts, lasts, status, finished = self.state.get() if self.state.exists() else ([0], [0], None, False)
+        firsts, lasts, status, finished = self.state.get() or ([0], [0], None, False)  # one call to the store, not two
         new_firsts, new_lasts = list(firsts), list(lasts)
         for row in rows:
             new_firsts.append(row.first)
