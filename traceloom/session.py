@@ -13,6 +13,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a task's memory is what its rows need, some 30 times their compressed bytes when they are grouped: with a
+    # fixed number of partitions it grows with the input. AQE joins small partitions to about 8 MB
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8MB",
+    "spark.sql.files.maxPartitionBytes": "32MB",
     # a scan is judged by its Parquet files, which are up to 25 times smaller than their rows in memory; the
     # driver builds every broadcast, a dozen at once. AQE judges the same side again by the bytes of its rows
     "spark.sql.autoBroadcastJoinThreshold": "512KB",
