@@ -179,13 +179,14 @@ def parent_faults(items: DataFrame, id_col="id", parent_col="parent_id") -> Data
     Pointer doubling: after k rounds a pointer has moved 2^k parents. A chain that ends keeps
     losing members every round, so the loop stops at the first round that loses none.
     """
-    links = items.select(F.col(id_col).alias("id"), F.col(parent_col).alias("ptr"))
+    links = materialize(items.select(F.col(id_col).alias("id"), F.col(parent_col).alias("ptr")))
     known = links.select(F.col("id").alias("ptr"), F.lit(True).alias("known"))
-    state = links.join(known, "ptr", "left").select(
+    # items without a parent stay out of the join, too: their NULL keys would all meet in one task
+    state = links.where("ptr is not null").join(known, "ptr", "left").select(
         "id",
         F.when(F.col("known"), F.col("ptr")).alias("ptr"),
-        (F.col("ptr").isNotNull() & F.col("known").isNull()).alias("dangling"),
-    )
+        F.col("known").isNull().alias("dangling"),
+    ).unionByName(links.where("ptr is null").withColumn("dangling", F.lit(False)))
     state = materialize(state)
     open_rows = state.where("ptr is not null").count()
     while open_rows:
