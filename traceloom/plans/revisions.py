@@ -115,7 +115,9 @@ UNION ALL SELECT 'source', count(DISTINCT source_id) FROM c SEMI JOIN s USING (s
 )
 def graph_export(spark, sf):
     claims = lens(spark, sf, "claim")
-    pair = F.concat(F.col("subject_id").cast("string"), F.lit(">"), F.col("object_id").cast("string"))
+    # never NULL: an end that is NULL is an end as in the SQL, and the join needs no edges of its own without NULLs
+    end = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    pair = F.concat(end("subject_id"), F.lit(">"), end("object_id"))
     links = claims.select(pair.alias("edge_id"), "claim_id", "object_id")
     edges = links.select("edge_id").distinct()
     evidence = claims.select(F.concat(F.lit("ev"), "claim_id").alias("evidence_id"), "claim_id", "source_id")
@@ -123,7 +125,10 @@ def graph_export(spark, sf):
     names = {"edges": "edge", "claims": "claim", "evidence": "evidence", "sources": "source"}
     counts = None
     for name, df in out.items():
-        row = df.agg(F.lit(names[name]).alias("entity"), F.count("*").alias("n"))
+        rows = df.select(F.lit(1).cast("long").alias("n"))
+        if name == "evidence":  # by source, so that it reads the rows that the sources read, and they are made once
+            rows = df.groupBy("source_id").agg(F.count("*").alias("n"))
+        row = rows.agg(F.lit(names[name]).alias("entity"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
         counts = row if counts is None else counts.union(row)
     return counts
 
