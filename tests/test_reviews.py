@@ -48,3 +48,19 @@ def test_changes_score_touched_edges_only(case, rows, monkeypatch):
     assert rows.of(done.labels, "graph_id", "support_label", "change") == rows.of(given.labels, "graph_id", "support_label", "change")
     assert set(seen) == {"e1", "e3"}
     assert rows.of(done.scores, *done.scores.columns) == rows.of(given.scores, *given.scores.columns)
+
+
+def test_whole_scores_without_a_view_score_each_edge_once(case, rows, monkeypatch):
+    """Before, all edges were scored as they were and the touched ones again, from rows joined anew for each."""
+    lines, reviews, graphs = case
+    want = rw.review(lines, ev.score_edges(lines, ["edge"]), reviews, graphs, ["edge"]).scores
+    real, calls = rw.score_edges, []
+    monkeypatch.setattr(rw, "score_edges", lambda df, *rest: (calls.append(df), real(df, *rest))[1])
+    for some in (reviews, reviews.where("false")):
+        del calls[:]
+        got = rw.review(lines, None, some, graphs, ["edge"]).scores
+        assert len(calls) == 1
+        assert {(r.claim_id, r.status) for r in calls[0].collect()} == {
+            ("a", "accepted" if some is not reviews else "rejected"), ("b", "accepted"), ("c", "accepted"), ("d", "accepted")}
+        if some is reviews:
+            assert rows.of(got, *got.columns) == rows.of(want, *got.columns)
