@@ -115,6 +115,22 @@ def test_item_projection(spark):
     assert ("main pcb", "model_knowledge", "no_source") in kinds and ("screw", "model_knowledge", "some_fields") in kinds
 
 
+def test_items_of_hot_requests_are_as_others(spark, monkeypatch):
+    """Before, all rows were dealt by what they cite, written, and dealt again by name and by parent."""
+    rng = random.Random(4)
+    rows = [(f"q{i % 3}", *raw(i, rng.choice(["Chip", "chip ", "Bolt", "Cable"]), rng.sample(["E1", "S1", "E9"], rng.randint(0, 3)), rng.choice(["low", "high"]),
+                               rng.choice([None, 1.0, 2.0]), rng.choice([None, "bolt", "chip"]), rng.random() < 0.5)[1:]) for i in range(60)]
+    frame = spark.createDataFrame(rows, RAW)
+    registry = spark.createDataFrame([(f"q{i}", e, t, "x") for i in range(3) for e, t in (("E1", "web_page"), ("S1", "search_snippet"))],
+                                     "request_id string, evidence_id string, ref_type string, ref string")
+    got = [[sorted(map(repr, t.collect())) for t in it.project_items(frame, registry, by_request=True, hot_rows=n)] for n in (5, 10**6)]
+    assert got[0] == got[1] and all(got[0])
+    real, written = it.materialize, []
+    monkeypatch.setattr(it, "materialize", lambda df: (written.append(df.columns), real(df))[1])
+    it.project_items(frame, registry, by_request=True)
+    assert written == [["request_id"]]
+
+
 def test_fallback_items(spark):
     schema = "request_id string, ordinal int, name string, category string, quantity double, unit string, material string, manufacturer string, part_number string, notes string, ref_type string, ref string"
     fill = (None,) * 6

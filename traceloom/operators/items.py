@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions.text import native_label_key
 from ..session import materialize
-from .running import top_per_key
+from .running import HOT_ROWS, top_per_key
 
 FIELDS = ("quantity", "unit", "material", "manufacturer", "part_number", "notes")
 
@@ -25,18 +25,31 @@ def _filled(columns, order="ordinal"):
     ]
 
 
-def project_items(raw: DataFrame, registry: DataFrame, max_items=None, key=native_label_key):
+def project_items(raw: DataFrame, registry: DataFrame, max_items=None, key=native_label_key, by_request=False, hot_rows=HOT_ROWS):
     """Merge composed rows into items: (items, sources, unknown ids).
 
     `raw` has request_id, ordinal, name, category, the optional fields, parent_name, evidence_ids,
     general_knowledge and confidence; `registry` request_id, evidence_id, ref_type and ref. All names
     are kept unless `max_items` asks for the first ones only. Rows of one name merge; basis and confidence come from the best-supported row, earliest first. An item's
-    sources stay rows of their own table, since nothing bounds how many there are.
+    sources stay rows of their own table, since nothing bounds how many there are. The looked-up
+    rows are written once for all tables, or with `by_request`, for callers that ask for one of them, dealt
+    once by request and not written; requests of more than `hot_rows` rows then go by what they cite and by name.
     """
     rows = raw.withColumn("name_key", key(F.col("name")))
     rows = rows.where("request_id is not null and name_key is not null")
     if max_items is not None:
         rows = rows.join(_kept_names(rows, max_items), ["request_id", "name_key"]).drop("first")
+    if not by_request:
+        return _projected(rows, registry, key, keep=materialize)
+    hot = materialize(rows.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("request_id"))
+    if hot.isEmpty():
+        return _projected(rows.repartition("request_id"), registry, key)
+    rest = _projected(rows.join(hot, "request_id", "left_anti").repartition("request_id"), registry, key)
+    some = _projected(rows.join(hot, "request_id", "left_semi"), registry, key, keep=materialize)
+    return tuple(a.unionByName(b) for a, b in zip(rest, some))
+
+
+def _projected(rows, registry, key, keep=lambda df: df):
     # rows that cite alike are looked up once, by what they cite: ordinals do not travel with each citation
     cited = rows.select("request_id", "evidence_ids").distinct()
     cited = cited.select("request_id", "evidence_ids", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
@@ -48,7 +61,7 @@ def project_items(raw: DataFrame, registry: DataFrame, max_items=None, key=nativ
         F.collect_list(F.when(known, F.struct("ref_type", "ref"))).alias("found"),
         F.collect_list(F.when(~known, F.struct("evidence_id"))).alias("lost"),
     )
-    rows = materialize(rows.join(cited, ["request_id", "evidence_ids"], "left"))
+    rows = keep(rows.join(cited, ["request_id", "evidence_ids"], "left"))
     unknown = rows.select("request_id", F.explode("lost").alias("l"), "ordinal").select("request_id", "l.evidence_id", "ordinal")
     refs = rows.select("request_id", "name_key", F.explode("found").alias("f"), "ordinal").select(
         "request_id", "name_key", "f.ref_type", "f.ref", "ordinal")

@@ -324,6 +324,8 @@ ITEMS_SQL = f"""r AS (SELECT *, trim(lower(name)) AS name_key, e = request_id %
 
 
 def raw_items(spark, sf):
+    # joins by request and name, or by request and citation, leave the rows where their request is
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = frame(spark, sf, RAW.replace("split_part(p_name, ' ', 2)", "element_at(split(p_name, ' '), 2)"))
     ids = F.array(F.concat(F.lit("E"), F.col("e").cast("string")), F.concat(F.lit("S"), F.col("s").cast("string")))
     return rows.withColumn("evidence_ids", ids)
@@ -335,7 +337,7 @@ def raw_items(spark, sf):
 FROM i LEFT JOIN i p ON i.request_id = p.request_id AND i.pk = p.name_key AND p.name_key <> i.name_key""",
 )
 def item_projection(spark, sf):
-    items, sources, _ = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY))
+    items, sources, _ = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY), by_request=True)
     counts = sources.groupBy("request_id", "name_key").agg(F.count("*").alias("sources"))
     out = items.join(counts, ["request_id", "name_key"])
     return out.select(
@@ -348,7 +350,7 @@ def item_projection(spark, sf):
     f"""WITH {ITEMS_SQL} SELECT request_id, 'E' || e AS evidence_id, count(*) AS n FROM x WHERE NOT web GROUP BY ALL UNION ALL SELECT request_id, 'S' || s, count(*) FROM x WHERE NOT snip GROUP BY ALL""",
 )
 def unknown_evidence(spark, sf):
-    _, _, unknown = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY))
+    _, _, unknown = it.project_items(raw_items(spark, sf), frame(spark, sf, REGISTRY), by_request=True)
     return unknown.groupBy("request_id", "evidence_id").agg(F.count("*").alias("n"))
 
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # queries that deal their rows by one of several keys set this to false for themselves
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
     # a task's memory is what its rows need, some 30 times their compressed bytes when they are grouped: with a
     # fixed number of partitions it grows with the input. AQE joins small partitions to about 8 MB
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
